@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import minhash, packing, token_store, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -22,14 +22,27 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verify(spark, ws)
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark, "vector-dedup"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "packing")
     pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), default_tokenizer(), ws)
     return packing.place(pieces).drop("ids")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "minhash"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op5_packing": op5_packing}
+    return {
+        "op1_token_store": op1_token_store,
+        "op2_vector_dedup": op2_vector_dedup,
+        "op5_packing": op5_packing,
+        "op9_minhash_dedup": op9_minhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
