@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, token_store, vector_dedup
+from . import decontam, minhash, packing, quality, token_store, toxicity, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -26,12 +26,26 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark, "vector-dedup"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "packing")
     pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), default_tokenizer(), ws)
     return packing.place(pieces).drop("ids")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "minhash"))
 
@@ -40,10 +54,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_vector_dedup": op2_vector_dedup,
+        "op3_decontamination": op3_decontamination,
+        "op4_quality": op4_quality,
         "op5_packing": op5_packing,
+        "op8_toxicity": op8_toxicity,
         "op9_minhash_dedup": op9_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontam.SQL}
