@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segment search (operator 8).
 
-A word's score is its log-odds between toxic and other training documents under an
-informative Dirichlet prior (the corpus share of the word), kept where it is
-significant, less a small drift; other words score the drift alone. One linear scan
+A token's score is its log-odds between toxic and other training documents under an
+informative Dirichlet prior (the token's overall share, as strong as the toxic
+documents' own tokens), kept where it is significant, less a small drift. Tokens are
+words and the beginnings of words, counted once for each document; a word takes its
+best token, and a word without any scores the drift alone. One linear scan
 (Ruzzo and Tompa) finds every maximal-scoring passage of a text. Scores are made
 comparable across lengths by extreme-value statistics (Karlin and Altschul): lambda
 solves sum p exp(lambda s) = 1 over ordinary words, K is fitted on ordinary
@@ -30,10 +32,11 @@ from .encode import texts_of
 from .labelled import SAMPLE, held_out, training_rows
 
 THRESHOLD = 0.7
-PRIOR = 500.0
-LEAST_DOCS = 3
-LEAST_Z = 3.0
+LEAST_DOCS = 4
+LEAST_Z = 3.5
+LEAST_ODDS = 1.5
 DRIFT = 0.1
+STEMS = range(4, 10)
 MARKS = " .,;:!?\"'()[]{}<>*-_#$%&|/\\~`«»“”„’"
 
 
@@ -50,6 +53,11 @@ def normal(word: bytes) -> str:
     return text.strip(MARKS) or text
 
 
+def tokens(word: str) -> list[str]:
+    """A word and its beginnings, marked as such."""
+    return [word, *(word[:n] + "~" for n in STEMS if n < len(word))]
+
+
 class WordScores(dict):
     """Raw word -> score; emptied when full."""
 
@@ -60,7 +68,7 @@ class WordScores(dict):
         self.known = scores
 
     def __missing__(self, word: bytes) -> float:
-        value = self.known.get(normal(word), 0.0) - DRIFT
+        value = max((self.known.get(t, 0.0) for t in tokens(normal(word)))) - DRIFT
         if len(self) >= self.LIMIT:
             self.clear()
         if len(word) <= 64:
@@ -108,24 +116,21 @@ def probability(model: Model, best: float, total: float) -> float:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, label, occurrences, documents) of each batch; label -1 holds the totals as the empty word."""
+    """(token, label, documents) of each batch."""
     for b in batches:
         label = b.column(b.schema.get_field_index("label")).to_pylist()
-        n: list[Counter] = [Counter(), Counter()]
         docs: list[Counter] = [Counter(), Counter()]
         for k, text in zip(label, b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), strict=True):
-            words = [normal(w) for w in (text or b"").split()]
-            n[k].update(words)
-            docs[k].update(set(words))
-        rows = [(w, k, c, docs[k][w]) for k in (0, 1) for w, c in n[k].items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["word", "label", "n", "docs"])
+            docs[k].update({t for w in set((text or b"").split()) for t in tokens(normal(w))})
+        rows = [(t, k, c) for k in (0, 1) for t, c in docs[k].items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["token", "label", "docs"])
 
 
 def log_odds(y1: float, y0: float, n1: float, n0: float) -> tuple[float, float]:
-    """(log-odds, z) of a word seen y1 of n1 and y0 of n0 times, with a prior of its overall share."""
-    a = PRIOR * (y1 + y0) / (n1 + n0)
-    d = math.log((y1 + a) / (n1 + PRIOR - y1 - a)) - math.log((y0 + a) / (n0 + PRIOR - y0 - a))
+    """(log-odds, z) of a token counted y1 of n1 and y0 of n0 times; the prior weighs as much as n1 counts."""
+    a = n1 * (y1 + y0) / (n1 + n0)
+    d = math.log((y1 + a) / (2 * n1 - y1 - a)) - math.log((y0 + a) / (n0 + n1 - y0 - a))
     return d, d / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
 
 
@@ -177,25 +182,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """A model from labelled documents that are not held out; words are counted where the documents are."""
+    """A model from labelled documents that are not held out; tokens are counted where the documents are."""
     spark = docs.sparkSession
     rows = training_rows(docs, labels, "toxic", most)
-    counts = rows.select("text", "label").mapInArrow(_counts, "word string, label int, n long, docs long")
-    one = lambda c, k: F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0))
-    words = counts.groupBy("word").agg(one("n", 1).alias("y1"), one("n", 0).alias("y0"), one("docs", 1).alias("d1"), one("docs", 0).alias("d0")).persist()
-    totals = words.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0")).first()
+    counts = rows.select("text", "label").mapInArrow(_counts, "token string, label int, docs long")
+    one = lambda k: F.sum(F.when(F.col("label") == k, F.col("docs")).otherwise(0))
+    both = counts.groupBy("token").agg(one(1).alias("y1"), one(0).alias("y0")).persist()
+    totals = both.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0")).first()
     n1, n0 = totals["n1"] or 0, totals["n0"] or 0
     if not n1 or not n0:
-        words.unpersist()
+        both.unpersist()
         return Model()
-    # a significant word is in many of the sample's documents, so the list is bounded with the sample
-    seen = words.where((F.col("d1") >= LEAST_DOCS) & (F.col("y1") * n0 > F.col("y0") * n1 * 1.5)).collect()
-    words.unpersist()
+    # such a token is in many of the sample's toxic documents, so the list is bounded with the sample
+    seen = both.where((F.col("y1") >= LEAST_DOCS) & (F.col("y1") * n0 > F.col("y0") * n1 * 3)).collect()
+    both.unpersist()
     model, kept, rest = Model(), [], 1.0
     for r in seen:
         d, z = log_odds(r["y1"], r["y0"], n1, n0)
-        if z >= LEAST_Z:
-            model.scores[r["word"]] = d
+        if z >= LEAST_Z and d >= LEAST_ODDS:
+            model.scores[r["token"]] = d
             kept.append((d - DRIFT, r["y0"] / n0))
             rest -= r["y0"] / n0
     model.rate = _solve_rate([*kept, (-DRIFT, rest)])
