@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, quality, token_store, toxicity, vector_dedup
+from . import chat, decontam, html_extract, minhash, packing, quality, token_store, toxicity, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -41,6 +41,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces).drop("ids")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
+    ws = Workspace(spark, "chat")
+    return chat.digests(chat.format_windows(turns.unionByName(probe), default_tokenizer(), ws))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +58,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "minhash"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), Workspace(spark, "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -57,8 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
+        "op7_chat_format": op7_chat_format,
         "op8_toxicity": op8_toxicity,
         "op9_minhash_dedup": op9_minhash_dedup,
+        "op10_html_text": op10_html_text,
     }
 
 
