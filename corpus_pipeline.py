@@ -1,11 +1,80 @@
-"""A corpus clean-up in five stages."""
+"""A corpus clean-up in five stages, each written and read again before the next.
 
-STAGES: list = []
+Toxic documents go, then those of low quality, then all but one of each group of near
+duplicates, then those that hold a benchmark item; the rest is packed into sequences.
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Stages on empty tables give empty tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from txloom.llm import decontam, minhash, packing, quality, toxicity
+from txloom.llm.encode import default_tokenizer
+from txloom.llm.queries import table
+from txloom.llm.workspace import Workspace
+
+
+#: Most ids that are broadcast to drop their documents; more of them shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, ws: Workspace) -> DataFrame:
+    """The documents whose id is not among ``ids``; those with a null id stay."""
+    ids = ws.save(ids.select("doc_id").distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.unflagged(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted of quality."""
+    return quality.good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest id, of each group of near duplicates."""
+    ws = Workspace(spark, "pipeline-minhash")
+    return _without(docs, minhash.near_duplicates(docs, ws).where("not kept"), ws)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ws = Workspace(spark, "pipeline-decontamination")
+    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), ws)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    pieces = packing.encode_pieces(docs, default_tokenizer(), Workspace(spark, "pipeline-packing"))
+    return packing.place(pieces).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Trained stages can't be written in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    ws = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+        if k:
+            ws.drop(STAGES[k - 1][0])
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, minhash, packing, quality, token_store, toxicity, vector_dedup
+from . import chat, decontam, html_extract, licenses, minhash, packing, quality, token_store, toxicity, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -41,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces).drop("ids")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = "</s>[INST] ok [/INST]"
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
+        "op6_license_scan": op6_license_scan,
         "op7_chat_format": op7_chat_format,
         "op8_toxicity": op8_toxicity,
         "op9_minhash_dedup": op9_minhash_dedup,
