@@ -1,18 +1,21 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures (operator 9).
 
-A document's set holds its distinct five-word shingles. Its signature is 48
+A document's set holds its distinct five-word shingles. Its signature is 96
 symbols of 16 bits, each from the least value of one hash function over the set.
-The signature is split into 12 chunks of 4 symbols. Two signatures that differ in
-at most 23 symbols must, by the pigeonhole principle, have a chunk with at most one
+The first 48 are split into 12 chunks of 4 symbols. Two signatures that differ there
+in at most 23 symbols must, by the pigeonhole principle, have a chunk with at most one
 differing symbol; so every chunk is indexed under its four patterns with one symbol
 left out (the chunk errors allowed), and equal keys give every pair under that
 distance. At similarity 0.75 a pair is missed with probability 1e-7. Found pairs
-whose signatures differ in at most ``FAR`` symbols are confirmed on whole sets.
+whose whole signatures differ in at most ``FAR`` symbols (at 0.75, all but 2 in a
+million do) are confirmed on whole sets.
 
 Copies of one set are one class. Groups are never expanded to all pairs: first each
 member of a bucket is compared with the bucket's first class; then only members
-still in different components are compared, nearest signatures first, until no
-unconfirmed candidate between different components is left.
+still in different components are compared. Small buckets give their candidates;
+large ones are dealt in tiles of bounded size that confirm candidates where they are,
+nearest signatures first and none that confirmed links have joined already, and give
+spanning links. A pair that shares several buckets is a candidate in the first only.
 
 Defined results: null or empty texts and texts of white space have an empty set and
 link with nothing; under five words the whole sequence is the one shingle; repeated
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,23 +37,26 @@ from .encode import texts_of
 from .words import mix, shingle_set
 from .workspace import Workspace
 
-SYMBOLS, CHUNK = 48, 4
-FAR = 28
+SYMBOLS, INDEXED, CHUNK = 96, 48, 4
+FAR = 44
+#: Buckets of at most so many classes are compared whole in one pass.
+SMALL = 128
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK = 1024
+BLOCK = 512
 #: Most class ids that are broadcast; beyond that the join shuffles.
 BROADCAST_IDS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(9))
-FACTORS = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _rng.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signature(values: np.ndarray) -> bytes:
-    """48 symbols of 16 bits of a set of hashes."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 2048):
-        np.minimum(least, (values[at : at + 2048, None] * FACTORS).min(axis=0), out=least)
-    return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
+    """96 symbols of 16 bits of a set of hashes; each factor is a bijection of 32-bit values."""
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 1024):
+        np.minimum(least, (FACTORS[:, None] * x[at : at + 1024]).min(axis=1), out=least)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
 
 
 def fingerprint(values: np.ndarray) -> bytes | None:
@@ -72,21 +78,31 @@ def _matrix(column) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mult = np.uint64(0x9E3779B97F4A7C15)
+    mult, chunks = np.uint64(0x9E3779B97F4A7C15), INDEXED // CHUNK
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            sig = _matrix(part.column(1)).astype(np.uint64).reshape(-1, SYMBOLS // CHUNK, CHUNK)
-            keys = np.empty((len(sig), SYMBOLS // CHUNK, CHUNK), np.uint64)
+            sig = _matrix(part.column(1))[:, :INDEXED].astype(np.uint64).reshape(-1, chunks, CHUNK)
+            keys = np.empty((len(sig), chunks, CHUNK), np.uint64)
             for out in range(CHUNK):
-                h = np.arange(SYMBOLS // CHUNK, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(out + 1)
+                h = np.arange(chunks, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(out + 1)
                 h = np.broadcast_to(h, sig.shape[:2])
                 for k in range(CHUNK):
                     if k != out:
                         h = h * mult + sig[:, :, k]
                 keys[:, :, out] = mix(h)
-            fp = part.column(0).take(pa.array(np.repeat(np.arange(len(sig)), SYMBOLS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), fp], names=["key", "fp"])
+            fp = part.column(0).take(pa.array(np.repeat(np.arange(len(sig)), INDEXED)))
+            slot = pa.array(np.tile(np.arange(INDEXED, dtype=np.int8), len(sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), slot, fp], names=["key", "slot", "fp"])
+
+
+def first_slot(same: np.ndarray) -> np.ndarray:
+    """The first key that two signatures share, from their equal symbols (rows of booleans); they must share one."""
+    chunks = same[:, :INDEXED].reshape(len(same), INDEXED // CHUNK, CHUNK)
+    equal = chunks.sum(axis=2)
+    first = (equal >= CHUNK - 1).argmax(axis=1)
+    at = np.arange(len(same))
+    return first * CHUNK + np.where(equal[at, first] == CHUNK, 0, chunks[at, first].argmin(axis=1))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,55 +134,122 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ok], names=["a", "b", "linked"])
 
 
-def _tile(most: int | None):
-    """Rows of one bucket block against the bucket's outsiders: candidates between different components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("outsider").to_pylist(), bool)
-        fp, sig = table.column("fp").to_pylist(), _matrix(table.column("sig"))
-        comp = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)[1]
-        rows, cols = np.flatnonzero(side), np.flatnonzero(~side)
-        a, b, d = [], [], []
-        for at in range(0, len(rows), 64):
-            r = rows[at : at + 64]
-            away = np.zeros((len(r), len(cols)), np.int16)
-            for k in range(SYMBOLS):
-                away += sig[r, k][:, None] != sig[cols, k][None, :]
-            away[comp[r][:, None] == comp[cols][None, :]] = SYMBOLS + 1
-            for i, own in zip(r, away, strict=True):
-                js = np.flatnonzero(own <= FAR)
-                if most is not None and len(js) > most:
-                    js = js[np.argsort(own[js], kind="stable")[:most]]
-                a += [fp[i]] * len(js)
-                b += [fp[j] for j in cols[js]]
-                d += own[js].tolist()
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "d": pa.array(d, pa.int32())})
-
-    return run
-
-
-def _candidates(shared: DataFrame, labels: DataFrame | None, classes: DataFrame, done: DataFrame, most: int | None) -> DataFrame:
-    """Unconfirmed pairs of one bucket in different components; with ``most``, each class's nearest so many."""
-    if labels is None:
-        rows = shared.withColumn("comp", F.col("fp"))
-    else:
-        rows = shared.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    by_comp = rows.join(mixed.select("key"), "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("n"))
-    # a pair of buckets that hold the same classes would repeat work, so a class meets another once for each key only
-    inside = rows.join(main, "key").join(classes, "fp").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    each = inside.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    columns = ["key", "block", "fp", "comp", "sig"]
-    plain = each.select(*columns, F.lit(False).alias("outsider"))
-    outside = inside.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("outsider"))
-    found = plain.unionByName(outside).groupBy("key", "block").applyInArrow(_tile(most), "a binary, b binary, d int")
-    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    if most is None:
-        return pairs.select("a", "b")
-    ways = pairs.select("a", "b", "d", F.col("a").alias("own")).unionByName(pairs.select("a", "b", "d", F.col("b").alias("own")))
-    nearest = ways.withColumn("k", F.row_number().over(Window.partitionBy("own").orderBy("d", "a", "b"))).where(F.col("k") <= most)
-    return nearest.select("a", "b").distinct()
+def _halves(column) -> np.ndarray:
+    """16-byte values as two numbers each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+PAIRS = "a binary, b binary, d int"
+BUCKET = ["key", "slot", "fp", "comp", "sig"]
+
+
+def _pairs(fp, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([fp.take(pa.array(i)), fp.take(pa.array(j)), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: the candidates within each bucket, for all buckets of a batch at once."""
+
+    def within(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, slot, fp = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
+        comp, sig = _halves(b.column(3)), _matrix(b.column(4))
+        for k in range(1, SMALL):
+            i = np.flatnonzero(key[k:] == key[:-k])
+            if not len(i):
+                break
+            i = i[(comp[i] != comp[i + k]).any(axis=1)]
+            for at in range(0, len(i), 50_000):
+                p = i[at : at + 50_000]
+                same = sig[p] == sig[p + k]
+                d = SYMBOLS - same.sum(axis=1)
+                near = np.flatnonzero(d <= FAR)
+                near = near[first_slot(same[near]) == slot[p[near]]]
+                if len(near):
+                    yield _pairs(fp, p[near], p[near] + k, d[near])
+
+    held: pa.Table | None = None
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        key = np.asarray(table.column(0))
+        whole = int(np.flatnonzero(key != key[-1])[-1] + 1) if len(key) and (key != key[-1]).any() else 0
+        held = table.slice(whole)  # a small bucket may go on in the next batch
+        for at in range(0, whole and 1):
+            yield from within(table.slice(at, whole).combine_chunks().to_batches()[0])
+    if held is not None and held.num_rows:
+        yield from within(held.combine_chunks().to_batches()[0])
+
+
+def _find(parent: list[int], k: int) -> int:
+    while parent[k] != k:
+        parent[k] = parent[parent[k]]
+        k = parent[k]
+    return k
+
+
+def _large(table: pa.Table) -> pa.Table:
+    """A block of a large bucket against some of its outsiders (classes not of its main component): spanning links."""
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    side = np.array(table.column("outsider").to_pylist(), bool)
+    outside, block = np.flatnonzero(side), np.flatnonzero(~side)
+    if not len(outside) or not len(block):
+        return pa.Table.from_pylist([], schema=kind)
+    slot = table.column("slot")[0].as_py()
+    sig, comp = _matrix(table.column("sig")), _halves(table.column("comp"))
+    parent = np.unique(comp.view([("x", np.uint64), ("y", np.uint64)]).reshape(-1), return_index=True, return_inverse=True)
+    root = parent[1][parent[2]].tolist()  # the first row of a component stands for it
+    sets, a, b = table.column("items"), [], []
+    opened: dict[int, np.ndarray] = {}
+
+    def items(k: int) -> np.ndarray:
+        if k not in opened:
+            opened[k] = np.frombuffer(sets[k].as_py(), np.uint64)
+        return opened[k]
+
+    for at in range(0, len(outside), 64):
+        r = outside[at : at + 64]
+        d = np.zeros((len(r), len(block)), np.int16)
+        for k in range(SYMBOLS):
+            d += sig[r, k][:, None] != sig[block, k][None, :]
+        d[(comp[r][:, None, :] == comp[block][None, :, :]).all(axis=2)] = SYMBOLS + 1
+        i, j = np.nonzero(d <= FAR)
+        if not len(i):
+            continue
+        own = first_slot(sig[r[i]] == sig[block[j]]) == slot
+        i, j = i[own], j[own]
+        order = np.lexsort((d[i, j], i))
+        for p, q in zip(r[i[order]].tolist(), block[j[order]].tolist(), strict=True):
+            x, y = _find(root, p), _find(root, q)
+            if x != y and linked(items(p), items(q)):
+                root[max(x, y)] = min(x, y)
+                a.append(p)
+                b.append(q)
+    fp = table.column("fp")
+    return pa.table({"a": fp.take(pa.array(a, pa.int64())), "b": fp.take(pa.array(b, pa.int64()))}).cast(kind)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that still hold several components, with ``comp`` and the bucket's size ``n``."""
+    named = rows.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").cast("int").alias("n")).where("lo <> hi").select("key", "n")
+    return named.join(mixed, "key")
+
+
+def _tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between components of large buckets, confirmed."""
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n")).select("key", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m.c")) / (2 * BLOCK)).cast("int").alias("parts"))
+    inside = rows.drop("n").join(main, "key").join(sets, "fp")
+    number = F.xxhash64("fp", "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [*BUCKET, "items", "block", "part"]
+    plain = inside.withColumn("block", F.pmod(number, F.col("blocks")).cast("int")).withColumn("part", every("parts")).select(*columns, F.lit(False).alias("outsider"))
+    outside = inside.where("comp <> main").withColumn("part", F.pmod(number, F.col("parts")).cast("int")).withColumn("block", every("blocks")).select(*columns, F.lit(True).alias("outsider"))
+    return plain.unionByName(outside).groupBy("key", "block", "part").applyInArrow(_large, "a binary, b binary")
+
+
+def _undone(found: DataFrame, done: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -174,7 +257,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = ws.save(docs.mapInArrow(_signed, "doc_id long, n_shingles long, fp binary, sig binary"), "signed")
     classes = signed.where("fp is not null").groupBy("fp").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
-    keys = classes.select("fp", "sig").mapInArrow(_keyed, "key long, fp binary")
+    keys = classes.select("fp", "sig").mapInArrow(_keyed, "key long, slot byte, fp binary")
     first = keys.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").drop("last")
     shared = ws.save(keys.join(first, "key"), "shared")
     known = ws.save(classes.join(shared.select("fp").distinct(), "fp", "left_semi"), "known")
@@ -197,16 +280,12 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     done = confirm(with_sig.select("a", "b", "s", "t").mapInArrow(_near, "a binary, b binary"), "confirmed-0")
     links = done.where("linked")
     labels = components(links, ws, "stars-0")
-    shared = shared.select("key", "fp")
-    for k, most in enumerate((1, 4, 16, None), 1):
-        pairs = ws.save(_candidates(shared, labels, sigs, done, most), f"pairs-{k}")
-        if pairs.isEmpty():
-            break
-        more = confirm(pairs, f"confirmed-{k}")
-        done = done.unionByName(more)
-        if not more.where("linked").isEmpty():
-            links = links.unionByName(more.where("linked"))
-            labels = components(links, ws, f"stars-{k}")
+    rows = ws.save(_labelled(shared.select("key", "slot", "fp"), labels).join(sigs, "fp"), "mixed")
+    small = rows.where(F.col("n") <= SMALL).select(*BUCKET).repartition("key").sortWithinPartitions("key").mapInArrow(_small, PAIRS)
+    more = confirm(_undone(small, done), "confirmed-1").where("linked").select("a", "b")
+    more = ws.save(more.unionByName(_tiles(rows.where(F.col("n") > SMALL), sets)), "more")
+    if not more.isEmpty():
+        labels = components(links.select("a", "b").unionByName(more), ws, "stars-1")
     rows = signed.select("doc_id", "n_shingles", "fp").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     # a repeated doc_id with several texts, which the ids of a table exclude, would join their classes through the least id of each
     heads = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
