@@ -15,7 +15,6 @@ from .workspace import Workspace
 def components(links: DataFrame, ws: Workspace, name: str = "stars") -> DataFrame:
     """Links (a, b) to (id, component): the smallest id reachable, for ids with a link to another id."""
     edges = ws.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    seen = None
     for k in range(1, 60):
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
@@ -25,9 +24,9 @@ def components(links: DataFrame, ws: Workspace, name: str = "stars") -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = ws.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{k}")
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if state == seen:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # stars are left when every id has one link up or is a head
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
-        seen = state
     heads = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads)

@@ -278,14 +278,15 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     star = shared.where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
     with_sig = star.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("t")), "b")
     done = confirm(with_sig.select("a", "b", "s", "t").mapInArrow(_near, "a binary, b binary"), "confirmed-0")
-    links = done.where("linked")
-    labels = components(links, ws, "stars-0")
+    links = done.where("linked").select("a", "b")
+    # a first label for each class, by two steps to confirmed first classes: equal labels are connected
+    lead = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("step"))
+    labels = ws.save(lead.join(lead.select(F.col("id").alias("step"), F.col("step").alias("next")), "step", "left").select("id", F.coalesce("next", "step").alias("component")), "labels")
     rows = ws.save(_labelled(shared.select("key", "slot", "fp"), labels).join(sigs, "fp"), "mixed")
     small = rows.where(F.col("n") <= SMALL).select(*BUCKET).repartition("key").sortWithinPartitions("key").mapInArrow(_small, PAIRS)
     more = confirm(_undone(small, done), "confirmed-1").where("linked").select("a", "b")
     more = ws.save(more.unionByName(_tiles(rows.where(F.col("n") > SMALL), sets)), "more")
-    if not more.isEmpty():
-        labels = components(links.select("a", "b").unionByName(more), ws, "stars-1")
+    labels = components(links.unionByName(more), ws)
     rows = signed.select("doc_id", "n_shingles", "fp").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     # a repeated doc_id with several texts, which the ids of a table exclude, would join their classes through the least id of each
     heads = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
