@@ -46,7 +46,7 @@ SIGNS = _rng.choice(np.array([-1.0, 1.0]), (BUCKETS, ENTRIES))
 class Pieces(dict):
     """White-space-separated raw word -> buckets as bytes; emptied when full."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> bytes:
         out = []

@@ -61,7 +61,7 @@ def tokens(word: str) -> list[str]:
 class WordScores(dict):
     """Raw word -> score; emptied when full."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, scores: dict[str, float]):
         super().__init__()

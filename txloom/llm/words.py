@@ -20,7 +20,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word -> hash; emptied when full, so its memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
