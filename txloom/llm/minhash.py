@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     more = ws.save(more.unionByName(_tiles(rows.where(F.col("n") > SMALL), sets)), "more")
     labels = components(links.unionByName(more), ws)
     rows = signed.select("doc_id", "n_shingles", "fp").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    # a repeated doc_id with several texts, which the ids of a table exclude, would join their classes through the least id of each
-    heads = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
+    # written first, so that the join below has plain exchanges, which adaptive execution splits at a hot component
+    heads = ws.save(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head")), "heads")
     out = rows.join(heads, "label", "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
