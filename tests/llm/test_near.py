@@ -102,6 +102,31 @@ def test_vectors(spark, monkeypatch, tile):
     assert vector_dedup.near_vectors(df.limit(0), Workspace(spark, "t2b")).count() == 0
 
 
+def test_merge_keeps_earlier_links():
+    m2, m1, old, x1, x2, y1, y2 = range(7)
+    label = vector_dedup._merge(np.arange(7), np.array([old, old]), np.array([x1, x2]))
+    label = vector_dedup._merge(label, np.array([x1, m1, x2, m2]), np.array([y1, y1, y2, y2]))
+    assert label.tolist() == [0] * 7
+
+
+def test_chain_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    chain = [np.eye(48)[0]]
+    for _ in range(2199):  # each 24 degrees from the one before
+        side = rng.normal(size=48)
+        side -= (side @ chain[-1]) * chain[-1]
+        chain.append(np.cos(np.radians(24)) * chain[-1] + np.sin(np.radians(24)) * side / np.linalg.norm(side))
+    x = np.array(chain)[rng.permutation(len(chain))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(df, Workspace(spark, "t2c")).collect()}
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = united(range(len(x)), list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)))
+    assert [got[k].n_links for k in range(len(x))] == near.sum(axis=1).tolist()
+    assert {k: got[k].component_id for k in got} == want and set(want.values()) == {0}
+
+
 def test_contamination(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{rng.randrange(400)}" for _ in range(30_000)]

@@ -85,15 +85,18 @@ def principal_axes(rows: DataFrame) -> np.ndarray | None:
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least label over the links a-b, until nothing changes."""
+    """Join the components of ``a`` and ``b``; ``label`` holds each row's head, the least row of its component.
+
+    Only heads are hooked, so all members of both sides follow; a head hooked to
+    several others keeps the least, and the links to the rest are seen again.
+    """
     while True:
-        m = np.minimum(label[a], label[b])
-        if (label[a] == m).all() and (label[b] == m).all():
+        p, q = label[a], label[b]
+        if (p == q).all():
             return label
-        for end in (a, b):
-            np.minimum.at(label, label[end], m)
-            np.minimum.at(label, end, m)
-        label = label[label]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not (label[label] == label).all():
+            label = label[label]
 
 
 def block_links(q: np.ndarray, rest: dict[int, np.ndarray], x: np.ndarray, r: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
