@@ -71,6 +71,70 @@ def test_store_finds_damage(spark, docs):
     assert {r.intact for r in token_store.verify(spark, ws).collect()} == {True, False}
 
 
+def damaged(spark, ws, name, change):
+    """The intact rows of the store with one table replaced."""
+    change(spark.read.parquet(ws.of(name))).write.parquet(ws.of(f"{name}-bad"))
+    bad = Workspace(spark, "t1-bad")
+    bad.of = lambda n: ws.of(f"{name}-bad" if n == name else n)
+    return token_store.verify(spark, bad).collect()
+
+
+RECIPES = {
+    "reordered": (91, "reverse(digests)", "reverse(lengths)"),
+    "replaced": (3, None, None),
+    "dropped": (91, "slice(digests, 1, size(digests) - 1)", "slice(lengths, 1, size(lengths) - 1)"),
+    "repeated": (91, "concat(digests, slice(digests, 1, 1))", "concat(lengths, slice(lengths, 1, 1))"),
+    "emptied": (3, "slice(digests, 1, 0)", "slice(lengths, 1, 0)"),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(RECIPES))
+def test_store_finds_changed_recipes(spark, docs, kind):
+    ws = Workspace(spark, f"t1-{kind}")
+    # a text of as many ids as document 3, and one of several chunks
+    more = docs.unionByName(spark.createDataFrame([(k, t, "en", "clash", 1) for k, t in ((90, "two"), (91, " ".join(f"w{n * n}" for n in range(1500))))], DOCS))
+    assert len(plain_ids("one")) == len(plain_ids("two"))
+    token_store.write(more, default_tokenizer(), ws)
+    assert len(set(spark.read.parquet(ws.of("recipes")).where("doc_id = 91").first()["digests"])) > 2
+    assert all(r.intact for r in token_store.verify(spark, ws).collect())
+    doc, digests, lengths = RECIPES[kind]
+
+    def change(recipes):
+        if kind == "replaced":
+            other = recipes.where("doc_id = 90").first()["digests"]
+            return recipes.withColumn("digests", F.when(F.col("doc_id") == doc, F.array(*map(F.lit, other))).otherwise(F.col("digests")))
+        new = {"digests": F.expr(f"if(doc_id = {doc}, {digests}, digests)"), "lengths": F.expr(f"if(doc_id = {doc}, {lengths}, lengths)")}
+        return recipes.withColumns(new)
+
+    got = {r.doc_id: r.intact for r in damaged(spark, ws, "recipes", change)}
+    assert got == {r.doc_id: r.doc_id != doc for r in more.collect()}
+
+
+def test_store_finds_lost_recipes(spark, docs):
+    ws = Workspace(spark, "t1d")
+    token_store.write(docs, default_tokenizer(), ws)
+    recipes = spark.read.parquet(ws.of("recipes"))
+    part = recipes.where("doc_id = 3").first()["_part"]
+    gone = {r.doc_id for r in recipes.where(F.col("_part") == part).collect()}
+    rows = damaged(spark, ws, "recipes", lambda t: t.where(F.col("_part") != part))
+    assert {r.doc_id for r in rows if r.intact} == set(range(len(TEXTS))) - gone
+    lost = [r for r in rows if not r.intact]
+    assert [(r.doc_id, r.n_tokens) for r in lost] == [(None, recipes.where(F.col("_part") == part).agg(F.sum("n_tokens")).first()[0])]
+    ws.of = lambda n, old=ws.of: old(n.replace("recipes-bad", "recipes-bad2"))
+    rows = damaged(spark, ws, "recipes", lambda t: t.where("doc_id <> 3"))
+    assert {r.doc_id for r in rows} == set(range(len(TEXTS))) - {3}
+    assert {r.doc_id for r in rows if not r.intact} == gone - {3} and gone != {3}
+
+
+def test_store_finds_a_changed_manifest(spark, docs):
+    ws = Workspace(spark, "t1e")
+    token_store.write(docs, default_tokenizer(), ws)
+    part = spark.read.parquet(ws.of("recipes")).where("doc_id = 3").first()["_part"]
+    hit = {r.doc_id for r in spark.read.parquet(ws.of("recipes")).where(F.col("_part") == part).collect()}
+    rows = damaged(spark, ws, "manifest", lambda t: t.withColumn("root", F.when(F.col("_part") == part, F.lit("0")).otherwise(F.col("root"))))
+    assert {r.doc_id for r in rows if not r.intact} == hit
+
+
 def test_empty_store(spark, docs):
     ws = Workspace(spark, "t1c")
     token_store.write(docs.limit(0), default_tokenizer(), ws)

@@ -7,11 +7,12 @@ hash of the last 16 ids says so, and writes
 * ``recipes``: in ascending ``doc_id`` order a row for each document: the place of
   its first id in the whole stream, its number of ids, the digests and lengths of
   its chunks and the Merkle root over the digests;
-* ``manifest``: a Merkle root for each recipe partition.
+* ``manifest``: a root for each recipe partition, over the key, place, number of ids
+  and Merkle root of its recipes.
 
 Equal passages give equal chunks, so copies cost a recipe only. ``verify`` reads
-the files back, recomputes every digest and root and gives each document's CRC;
-``read`` rebuilds the id streams.
+the files back, recomputes every digest and root, holds them against the recipes and
+the manifest and gives each document's CRC; ``read`` rebuilds the id streams.
 
 Defined results: a null or empty text has only the end id; repeated ``doc_id``s
 are documents of their own, ordered by their Merkle root; rows with a null
@@ -125,9 +126,14 @@ def write(docs: DataFrame, tokenizer: str, ws: Workspace, end: int = END) -> Non
     ws.save(running_start(parted, "n_tokens", "doc_id", "root").sortWithinPartitions("doc_id", "root"), "recipes")
     ws.drop("cut")
     ws.drop("parted")
-    kept = ws.spark.read.parquet(ws.of("recipes"))
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "start", "root"))), lambda r: r["root"])
-    ws.save(kept.groupBy("_part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(roots, F.hex)), 256).alias("root")), "manifest")
+    ws.save(partition_roots(ws.spark.read.parquet(ws.of("recipes"))), "manifest")
+
+
+def partition_roots(recipes: DataFrame) -> DataFrame:
+    """(_part, n_docs, n_tokens, root): a row for each recipe partition."""
+    own = F.array_sort(F.collect_list(F.struct("doc_id", "start", "n_tokens", "root")))
+    leaves = F.transform(own, lambda r: F.concat_ws(":", F.coalesce(r["doc_id"].cast("string"), F.lit("null")), r["start"], r["n_tokens"], F.hex(r["root"])))
+    return recipes.groupBy("_part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws(",", leaves), 256).alias("root"))
 
 
 # CRC of a whole from the CRCs of its parts: shifting by zero bytes is linear, so
@@ -176,29 +182,51 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(good, pa.bool_())], names=["digest", "n", "crc", "good"])
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to recipes whether the root and number of ids are those of the chunks."""
+    for b in batches:
+        n, root, digests, lengths = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("n_tokens", "root", "digests", "lengths"))
+        whole = [len(d or ()) == len(m or ()) > 0 and None not in d and None not in m and merkle_root(d) == r and sum(m) == k for k, r, d, m in zip(n, root, digests, lengths, strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(whole, pa.bool_())], names=[*b.schema.names, "whole"])
+
+
 def _shift_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         crc, behind = (np.asarray(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)) for c in ("crc", "behind"))
-        keep = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "start", "n_tokens", "good")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(shifted_crc(crc, behind * 4).astype(np.int64))], names=["doc_id", "start", "n_tokens", "good", "part"])
+        keep = [b.column(b.schema.get_field_index(c)) for c in ("_part", "doc_id", "start", "n_tokens", "good")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(shifted_crc(crc, behind * 4).astype(np.int64))], names=["_part", "doc_id", "start", "n_tokens", "good", "part"])
 
 
 def verify(spark: SparkSession, ws: Workspace) -> DataFrame:
     """Read the store's files: (doc_id, start, n_tokens, ids_crc32, intact) for each document.
 
-    A missing or changed object makes its documents not intact. Chunks are read once
+    A document is not intact when one of its objects is missing or changed, when its
+    digests or lengths don't give its root and number of ids, or when its recipe partition
+    isn't the one in the manifest. A partition of the manifest without recipes gives one
+    row, not intact, with the ids lost as ``n_tokens`` and nulls. Chunks are read once
     each; a document's CRC comes from its chunks' by exclusive or, so no group of
     chunks meets in a task.
     """
     objects = spark.read.parquet(ws.of("objects")).select("digest", "n", "ids").mapInArrow(_checked, "digest binary, n int, crc long, good boolean")
-    recipes = spark.read.parquet(ws.of("recipes"))
-    part = F.explode(F.arrays_zip("digests", "lengths")).alias("c")
+    kept = spark.read.parquet(ws.of("recipes"))
+    kept = kept.select("_part", "doc_id", "start", "n_tokens", "root", "digests", "lengths")
+    recipes = kept.mapInArrow(_rooted, "_part int, doc_id long, start long, n_tokens long, root binary, digests array<binary>, lengths array<int>, whole boolean")
     before = F.expr("aggregate(lengths, struct(0L as s, array(0L) as a), (acc, x) -> struct(acc.s + x as s, array_append(acc.a, acc.s + x) as a)).a")
-    parts = recipes.withColumn("ends", before).select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "lengths")).alias("k", "c"), "ends")
-    parts = parts.select("doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), (F.col("n_tokens") - F.expr("ends[k + 1]")).alias("behind"))
-    found = parts.join(objects, "digest", "left").select("doc_id", "start", "n_tokens", "behind", F.coalesce("crc", F.lit(0)).alias("crc"), (F.coalesce("good", F.lit(False)) & F.coalesce(F.col("n") == F.col("length"), F.lit(False))).alias("good"))
-    shifted = found.mapInArrow(_shift_map, "doc_id long, start long, n_tokens long, good boolean, part long")
-    return shifted.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.every("good").alias("intact"))
+    parts = recipes.withColumn("ends", before).select("_part", "doc_id", "start", "n_tokens", "whole", F.posexplode_outer(F.arrays_zip("digests", "lengths")).alias("k", "c"), "ends")
+    behind = F.coalesce(F.element_at("ends", -1) - F.expr("ends[k + 1]"), F.lit(0).cast("long"))
+    parts = parts.select("_part", "doc_id", "start", "n_tokens", "whole", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), behind.alias("behind"))
+    good = F.col("whole") & F.coalesce("good", F.lit(False)) & F.coalesce(F.col("n") == F.col("length"), F.lit(False))
+    found = parts.join(objects, "digest", "left").select("_part", "doc_id", "start", "n_tokens", "behind", F.coalesce("crc", F.lit(0)).alias("crc"), good.alias("good"))
+    shifted = found.mapInArrow(_shift_map, "_part int, doc_id long, start long, n_tokens long, good boolean, part long")
+    docs = shifted.groupBy("_part", "doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.every("good").alias("good"))
+    # a row for each partition: bounded by the number of partitions
+    listed = spark.read.parquet(ws.of("manifest")).select("_part", F.struct("n_docs", "n_tokens", "root").alias("said"))
+    seen = partition_roots(kept).select("_part", F.struct("n_docs", "n_tokens", "root").alias("found"))
+    agreed = listed.join(seen, "_part", "full_outer").select("_part", F.col("said").eqNullSafe(F.col("found")).alias("as_listed"), F.col("found").isNull().alias("lost"), F.col("said.n_tokens").alias("n_tokens"))
+    checked = docs.join(F.broadcast(agreed.select("_part", "as_listed")), "_part", "left")
+    checked = checked.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("good") & F.coalesce("as_listed", F.lit(False))).alias("intact"))
+    none = F.lit(None).cast("long")
+    return checked.unionByName(agreed.where("lost").select(none.alias("doc_id"), none.alias("start"), "n_tokens", none.alias("ids_crc32"), F.lit(False).alias("intact")))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
