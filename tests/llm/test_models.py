@@ -127,3 +127,14 @@ def test_licenses(spark):
         assert [x[1] for x in sorted(got[k])] == [family, family]
     assert all(x[1] == licenses.UNKNOWN for k in range(4 + len(notices), 4 + len(notices) + len(licenses.OTHERS)) for x in got.get(k, []))
     assert licenses.scan(docs.limit(0), model).count() == 0
+
+
+def test_licenses_without_an_anchor(spark):
+    names = {"Distributed under GPLv3 or later": "GPL-3.0", "LGPL-2.1": "LGPL", "Creative Commons Attribution 4.0 International": "CC-BY", "BSD-3-Clause": "BSD", "Apache-2.0": "Apache-2.0"}
+    others = ["AGPLv3", "see https://www.gnu.org/licenses/", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND", "before"]
+    docs = spark.createDataFrame([(1, "\n".join([*names, "", *others])), (2, None), (3, " ")], "doc_id long, text string")
+    model = licenses.fit()
+    found = {(r.doc_id, r.paragraph): r.family for r in licenses.scan(docs, model).collect()}
+    assert found == {(1, k): f for k, f in enumerate(names.values())}
+    rows = {(r.doc_id, r.paragraph): r.family for r in licenses.score(docs, model).collect()}
+    assert rows == found | {(1, len(names) + 1 + k): licenses.UNKNOWN for k in range(len(others))}

@@ -9,8 +9,10 @@ calibrates the probabilities; under ``SURE`` the family is unknown. A prediction
 confirmed when the paragraph holds ``LIKE`` of the word 3-grams of one of the family's
 notices.
 
-Only paragraphs with a word of ``ANCHORS`` are described at all: every notice has one.
+``score`` describes every paragraph with a word and gives each a row. ``scan`` leaves
+out those that stay unknown and have no word of ``ANCHORS``.
 The weights and notices are small tables bounded by the notices, so they are broadcast.
+A notice wrapped over several lines is several paragraphs, each scored by itself.
 
 Defined results: null and empty texts have no paragraphs; a text's equal paragraphs
 are rows of their own, by place; repeated documents repeat their rows; other columns
@@ -112,7 +114,7 @@ OTHERS = (
     "This work was released in the spring and distributed by the author.",
     "The public domain of the village was modified in version two of the plan.",
 )
-#: Each notice has at least one of these words; other paragraphs are not looked at.
+#: Each notice has at least one of these words.
 ANCHORS = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "gpl", "cc", "cc0", "domain", "mozilla", "spdx")
 ANCHOR = r"(?i)\b(" + "|".join(ANCHORS) + r")\b"
 
@@ -181,38 +183,49 @@ def fit(copies: int = 12, steps: int = 250, ridge: float = 2e-4) -> Model:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, words) of the paragraphs that hold an anchor; ``paragraph`` counts all lines from 0."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(ANCHOR))
+    """(row, doc_id, paragraph, words) of the paragraphs with a word; ``paragraph`` counts all lines from 0."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows are told apart by a number of their own: a table may repeat a document
-    lines = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(ANCHOR))
-    return lines.select("row", "doc_id", "paragraph", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
+    lines = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    return lines.select("row", "doc_id", "paragraph", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
 
 def _pairs(n: int):
-    """The distinct n-grams of the column ``words``."""
+    """The n-grams of the column ``words``."""
     parts = ", ".join(f"words[i + {k}]" for k in range(n))
-    return F.expr(f"if(size(words) < {n}, array(), array_distinct(transform(sequence(0, greatest(size(words) - {n}, 0)), i -> concat_ws(' ', {parts}))))")
+    return F.expr(f"if(size(words) < {n}, array(), transform(sequence(0, greatest(size(words) - {n}, 0)), i -> concat_ws(' ', {parts})))")
 
 
-def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed) of each paragraph with an anchor word."""
+def threes(words: list[str]) -> list[str]:
+    return sorted({" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))})
+
+
+def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, paragraph, family, probability, similarity, confirmed, anchored) of each paragraph."""
     spark = docs.sparkSession
     model = model or fit()
     k = len(model.families)
-    weights = spark.createDataFrame(list(model.weights.items()), "gram string, w array<double>")
-    notices = spark.createDataFrame([(f, t) for f, own in NOTICES.items() for t in own], "family string, notice string")
-    notices = notices.select("family", F.filter(F.split(F.lower("notice"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    notices = notices.select("family", F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_pairs(3)).alias("theirs"))
-
-    described = paragraphs(docs)
-    key = ["row", "doc_id", "paragraph"]
-    own = described.select(*key, "words", F.explode_outer(F.array_distinct(F.concat("words", _pairs(2)))).alias("gram"))
-    summed = own.join(F.broadcast(weights), "gram", "left").groupBy(*key).agg(F.first("words").alias("words"), *(F.sum(F.coalesce(F.col("w")[c], F.lit(0.0))).alias(f"z{c}") for c in range(k)))
-    logits = F.array(*((F.col(f"z{c}") + F.lit(model.bias[c])) for c in range(k)))
-    scored = summed.select(*key, "words", logits.alias("z")).withColumn("top", F.array_max("z"))
+    weights = spark.createDataFrame([("", model.bias), *model.weights.items()], "gram string, w array<double>")
+    theirs = {f: [threes(words_of(t)) for t in own] for f, own in NOTICES.items()}
+    notices = spark.createDataFrame(list(theirs.items()), "family string, theirs array<array<string>>")
+    known = sorted({x for own in theirs.values() for t in own for x in t})
+
+    mine = F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_pairs(3))
+    shared = F.filter(mine, lambda x: x.isin(known)).alias("shared")
+    described = paragraphs(docs).withColumns({"shared": shared, "anchored": F.exists("words", lambda w: w.isin(*ANCHORS))})
+    key = ["row", "doc_id", "paragraph", "shared", "anchored"]
+    # the empty gram carries the bias, so a paragraph of unknown words has a row, too
+    own = described.select(*key, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "words", _pairs(2)))).alias("gram"))
+    summed = own.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(k)))
+    scored = summed.select(*key, F.array(*(f"z{c}" for c in range(k))).alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int")).withColumn("p", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     named = scored.withColumn("family", F.when(F.col("p") >= SURE, F.array(*map(F.lit, model.families))[F.col("best")]).otherwise(F.lit(UNKNOWN)))
-    mine = named.withColumn("mine", F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_pairs(3)))
-    compared = mine.join(F.broadcast(notices), "family", "left").withColumn("s", F.coalesce(F.size(F.array_intersect("mine", "theirs")) / F.size("theirs"), F.lit(0.0)))
-    out = compared.groupBy(*key, "family", "p").agg(F.max("s").alias("similarity"))
-    return out.select("doc_id", "paragraph", "family", F.col("p").alias("probability"), "similarity", (F.col("similarity") >= LIKE).alias("confirmed"))
+    compared = named.join(F.broadcast(notices), "family", "left")
+    similarity = F.coalesce(F.array_max(F.transform("theirs", lambda t: F.size(F.array_intersect("shared", t)) / F.size(t))), F.lit(0.0))
+    out = compared.withColumn("similarity", similarity)
+    return out.select("doc_id", "paragraph", "family", F.col("p").alias("probability"), "similarity", (F.col("similarity") >= LIKE).alias("confirmed"), "anchored")
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``score`` without the unknown paragraphs that have no anchor word."""
+    return score(docs, model).where((F.col("family") != UNKNOWN) | F.col("anchored")).drop("anchored")

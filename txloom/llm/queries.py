@@ -42,7 +42,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.score(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
