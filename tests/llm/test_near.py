@@ -127,6 +127,24 @@ def test_chain_over_many_blocks(spark, monkeypatch):
     assert {k: got[k].component_id for k in got} == want and set(want.values()) == {0}
 
 
+@pytest.mark.parametrize("tile", [6144, 20])
+def test_vectors_of_two_lengths(spark, monkeypatch, tile):
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
+    rng = np.random.default_rng(6)
+    rows, links = [], []
+    for d, n in ((8, 50), (12, 40), (30, 6), (1, 2)):
+        x = rng.normal(size=(n, d))
+        x[n // 2 :] = x[: n - n // 2] * 2
+        at = len(rows)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links += [(at + a, at + b) for a, b in zip(*np.nonzero(u @ u.T >= 0.9), strict=True) if a != b]
+        rows += [(at + k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(df, Workspace(spark, "t2d")).collect()}
+    assert {k: got[k].component_id for k in got} == united(range(len(rows)), links)
+    assert [got[k].n_links for k in range(len(rows))] == [sum(a == k for a, _ in links) for k in range(len(rows))]
+
+
 def test_contamination(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{rng.randrange(400)}" for _ in range(30_000)]

@@ -9,8 +9,8 @@ axes and are bounded again, then get the rest. Every tile meets every tile, so n
 pair is missed; a tile pair gives link counts and the spanning links of its rows,
 never all its pairs.
 
-Defined results: vectors that are null, empty or zero, hold a null or non-finite
-component, or differ in length from most others link with nothing; equal rows count
+Defined results: vectors that are null, empty or zero, or hold a null or non-finite
+component link with nothing; vectors of different lengths don't link; equal rows count
 as others; a repeated ``vec_id`` counts the links of each of its rows; other columns
 are ignored; an empty table gives an empty result.
 """
@@ -35,12 +35,10 @@ SLACK = 1e-9
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """(vec_id, v) of vectors that can link; v holds doubles."""
+    """(vec_id, v, d) of vectors that can link; v holds d doubles."""
     v = F.col("embedding").cast("array<double>")
     whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(whole)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
-    return rows.join(F.broadcast(sizes), F.size("v") == F.col("d"), "left_semi")
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("d")).where(whole)
 
 
 def _rows(column) -> np.ndarray:
@@ -54,34 +52,34 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        if b.num_rows:
-            x = unit(_rows(b.column(1)))
-            total = x.T @ x + (0 if total is None else total)
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+        lengths = np.asarray(b.column(b.schema.get_field_index("d")))
+        for d in np.unique(lengths).tolist():
+            x = unit(_rows(b.column(b.schema.get_field_index("v")).filter(pa.array(lengths == d))))
+            total[d] = x.T @ x + total.get(d, 0)
+    yield _by_length(total)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        for m in b.column(0).to_pylist():
-            x = np.frombuffer(m)
-            total = x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+        for d, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            total[d] = np.frombuffer(m) + total.get(d, 0)
+    yield _by_length(total)
 
 
-def principal_axes(rows: DataFrame) -> np.ndarray | None:
-    """Axes as columns, largest share first; from the second moments of all rows, a small matrix for each task."""
-    partial = rows.mapInArrow(_moments, "m binary")
-    parts = [np.frombuffer(r["m"]) for r in partial.repartition(8).mapInArrow(_added, "m binary").collect()]
-    if not parts:
-        return None
-    total = np.sum(parts, axis=0)
-    d = int(round(len(total) ** 0.5))
-    return np.linalg.eigh(total.reshape(d, d))[1][:, ::-1]
+def _by_length(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], names=["d", "m"])
+
+
+def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
+    """For each length axes as columns, largest share first; from the second moments of all rows, a small matrix for each task."""
+    partial = rows.mapInArrow(_moments, "d int, m binary")
+    total: dict[int, np.ndarray] = {}
+    for r in partial.repartition(8).mapInArrow(_added, "d int, m binary").collect():
+        total[r["d"]] = np.frombuffer(r["m"]) + total.get(r["d"], 0)
+    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1] for d, m in total.items()}
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,13 +128,13 @@ def block_links(q: np.ndarray, rest: dict[int, np.ndarray], x: np.ndarray, r: np
     return i[ok], j[ok]
 
 
-def _tile_pair(axes: np.ndarray, threshold: float):
+def _tile_pair(axes: dict[int, np.ndarray], threshold: float):
     def run(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("vec_id"))
         if not len(ids):
             return pa.table({"vec_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "head": pa.array([], pa.int64())})
         tile, x = np.asarray(table.column("tile")), unit(_rows(table.column("v")))
-        q = x @ axes
+        q = x @ axes[x.shape[1]] if x.shape[1] in axes else x
         tails = np.sqrt(np.maximum(0, np.cumsum((q**2)[:, ::-1], axis=1)[:, ::-1]))
         rest = {s: tails[:, s] if s < q.shape[1] else np.zeros(len(q)) for s in {*STEPS, min(STEPS[0], q.shape[1]), q.shape[1]} if s <= q.shape[1]}
         low = np.flatnonzero(tile == tile.min())
@@ -162,16 +160,20 @@ def _tile_pair(axes: np.ndarray, threshold: float):
 def near_vectors(df: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``df`` (vec_id, embedding)."""
     rows = ws.save(usable(df), "vectors")
-    axes = principal_axes(rows)
-    if axes is None:
+    sizes = rows.groupBy("d").agg(F.count("*").alias("n"))
+    counts = {r["d"]: r["n"] for r in sizes.collect()}  # a row for each length
+    if not counts:
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    tiles = max(1, -(-rows.count() // TILE))
-    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("v", F.col("v").cast("array<float>") if dict(df.dtypes)["embedding"] == "array<float>" else F.col("v"))
-    pairs = met.select("vec_id", "v", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    found = ws.save(pairs.groupBy("lo", "hi").applyInArrow(_tile_pair(axes, threshold), "vec_id long, links long, head long"), "found")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    # few vectors of a length are compared as they are: any axes give right bounds
+    turned = [d for d, n in counts.items() if n > d]
+    axes = principal_axes(rows.where(F.col("d").isin(turned))) if turned else {}
+    tiles = sizes.select("d", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    dealt = rows.join(F.broadcast(tiles), "d").withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.col("tiles")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("v", F.col("v").cast("array<float>") if dict(df.dtypes)["embedding"] == "array<float>" else F.col("v"))
+    pairs = met.select("d", "vec_id", "v", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    found = ws.save(pairs.groupBy("d", "lo", "hi").applyInArrow(_tile_pair(axes, threshold), "vec_id long, links long, head long"), "found")
+    links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     heads = components(found.select(F.col("vec_id").alias("a"), F.col("head").alias("b")), ws)
-    out = df.select(F.col("vec_id").cast("long").alias("vec_id")).join(counts, "vec_id", "left").join(heads.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    out = df.select(F.col("vec_id").cast("long").alias("vec_id")).join(links, "vec_id", "left").join(heads.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
