@@ -14,6 +14,8 @@ from array import array
 
 import regex
 
+from .words import kept
+
 #: The tokenizer's own pre-tokenization pattern (a fixed value of the file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters below U+0130 that are no white space: case and normal form are plain there.
@@ -33,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """piece -> id bytes, in two bounded tables: pieces of late and those from before."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -81,31 +83,37 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
-def texts_of(batches, key: str, at_once: int = 16_000_000):
-    """From Arrow batches of a key and a text: (keys, texts as bytes) in runs of at most about ``at_once`` bytes."""
+#: Bytes of text that are worked on at once; a longer text comes alone.
+AT_ONCE = 4_000_000
+
+
+def runs_of(column, at_once: int = AT_ONCE):
+    """(from, to, texts as bytes) of an Arrow string column, in runs of about ``at_once`` bytes at most."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    for b in batches:
-        keys = b.column(b.schema.get_field_index(key)).to_pylist()
-        column = b.column(b.schema.get_field_index("text")).cast(pa.large_binary())
-        at = 0
-        while at < len(keys):
-            stop, size = at, 0
-            while stop < len(keys) and (stop == at or size < at_once):
-                size += len(column[stop].as_buffer() or b"") if column[stop].is_valid else 0
-                stop += 1
-            yield keys[at:stop], column[at:stop].to_pylist()
-            at = stop
+    column = column.cast(pa.large_binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, side="right")))
+        yield at, stop, column[at:stop].to_pylist()
+        at = stop
+    pa.default_memory_pool().release_unused()
 
 
-_encoders: dict[str, Encoder] = {}
+def texts_of(batches, key: str, at_once: int = AT_ONCE):
+    """From Arrow batches of a key and a text: (keys, texts as bytes) in runs of about ``at_once`` bytes at most."""
+    for b in batches:
+        keys = b.column(b.schema.get_field_index(key)).to_pylist()
+        for at, stop, texts in runs_of(b.column(b.schema.get_field_index("text")), at_once):
+            yield keys[at:stop], texts
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each worker and file, while it encodes."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def default_tokenizer() -> str:

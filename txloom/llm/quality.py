@@ -9,9 +9,12 @@ A document is the mean and the spread of its pieces' vectors; a network of two
 layers, trained here with numpy on labelled rows, turns that into a logit, and a
 temperature fitted on rows kept from training turns the logit into a probability.
 
+Word vectors are sums of whole numbers, so they don't depend on the order of rows.
+
 Defined results: null and empty texts have the zero vector and its score; repeated
-rows get equal scores; without labels of both kinds every score is 0.5; other columns
-are ignored; an empty table gives an empty result.
+rows and null ids get the score of their text; rows that tie in all their numbers train
+in any order; without labels of both kinds every score is 0.5; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import texts_of
+from .encode import runs_of, texts_of
 from .labelled import SAMPLE, held_out, training_rows
+from .words import kept
+from .workspace import bounded_batches
 
 BUCKETS, DIMS, ENTRIES = 1 << 14, 32, 4
 REACH = 2
@@ -65,16 +70,10 @@ class Pieces(dict):
         return value
 
 
-_pieces = Pieces()
-
-
-def buckets(text: bytes | None) -> bytes:
-    return b"".join(map(_pieces.__getitem__, text.split())) if text else b""
-
-
 def joined(some: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all texts one after another, number for each text)."""
-    parts = [buckets(t) for t in some]
+    piece = kept("pieces", Pieces).__getitem__
+    parts = [b"".join(map(piece, t.split())) if t else b"" for t in some]
     return np.frombuffer(b"".join(parts), "<i4").astype(np.int64), np.array([len(p) // 4 for p in parts])
 
 
@@ -91,13 +90,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     total += np.bincount(word * DIMS + PLACES[near, k], weights=SIGNS[near, k], minlength=BUCKETS * DIMS)
     if total.any():
         task = TaskContext.get().partitionId()
-        blocks = total.astype("<f8").reshape(-1, BLOCK_ROWS * DIMS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([task % 16] * len(blocks), pa.int32()), pa.array([b.astype("<f4").tobytes() for b in blocks], pa.binary())], names=["block", "salt", "sums"])
+        blocks = total.astype("<i8").reshape(-1, BLOCK_ROWS * DIMS)
+        small = "<i4" if np.abs(total).max() < 2**31 else "<i8"
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([task % 16] * len(blocks), pa.int32()), pa.array([b.astype(small).tobytes() for b in blocks], pa.binary())], names=["block", "salt", "sums"])
+
+
+def _whole(stored: bytes) -> np.ndarray:
+    """A block of sums, in 32 or 64 bits."""
+    return np.frombuffer(stored, "<i4" if len(stored) == 4 * BLOCK_ROWS * DIMS else "<i8").astype(np.int64)
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    sums = np.sum([np.frombuffer(b.as_py(), "<f4").astype(float) for b in table.column("sums")], axis=0)
-    return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "sums": pa.array([sums.astype("<f4").tobytes()], pa.binary())})
+    sums = np.zeros(BLOCK_ROWS * DIMS, np.int64)
+    for b in table.column("sums"):
+        sums += _whole(b.as_py())
+    return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "sums": pa.array([sums.astype("<i8").tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -106,10 +113,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     sums = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_contexts, kind)
     for keys in (["block", "salt"], ["block"]):
         sums = sums.groupBy(*keys).applyInArrow(_sum, kind)
-    table = np.zeros((BUCKETS, DIMS), np.float32)
+    table = np.zeros((BUCKETS, DIMS))
     for r in sums.collect():  # of a fixed size
-        table[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] = np.frombuffer(r["sums"], "<f4").reshape(-1, DIMS)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+        table[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] = _whole(r["sums"]).reshape(-1, DIMS)
+    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def pooled(table: np.ndarray, some: list[bytes | None]) -> np.ndarray:
@@ -181,6 +188,7 @@ def _pool(shared, keep: str, kind):
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Word vectors from all documents; the network from labelled ones that are not held out."""
+    bounded_batches(docs.sparkSession)
     table = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = training_rows(docs, labels, "quality", most).select("label", "text").mapInArrow(_pool(shared, "label", pa.int32()), "label int, x binary").toPandas()
@@ -188,10 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     y = rows.label.to_numpy(float)
     if len(set(y)) < 2:
         return model
-    x = np.frombuffer(b"".join(rows.x), "<f4").reshape(-1, 2 * DIMS).astype(float)
     # the order of rows from a cluster is open: sort, so that a fit is repeatable
-    order = np.lexsort((*x.T[:4], y))
-    x, y = x[order], y[order]
+    order = sorted(range(len(y)), key=lambda k: (y[k], rows.x[k]))
+    x, y = np.frombuffer(b"".join(rows.x[k] for k in order), "<f4").reshape(-1, 2 * DIMS).astype(float), y[order]
     model.shift, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - model.shift) / model.scale
     aside = np.arange(len(y)) % 5 == 0
@@ -220,18 +227,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _good(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probability(shared):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).cast(pa.large_binary())
-            for at in range(0, b.num_rows, 500):
-                p = model.probabilities(pooled(model.table, texts[at : at + 500].to_pylist()).astype("<f4").astype(float))
-                yield b.slice(at, 500).filter(pa.array(p >= THRESHOLD))
+        for column in columns:
+            found = [model.probabilities(pooled(model.table, some).astype("<f4").astype(float)) for _, _, some in runs_of(column)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are predicted of quality, with all their columns; nothing is shuffled."""
-    return docs.mapInArrow(_good(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    """The rows of ``docs`` that are predicted of quality, with all their columns; nothing is shuffled.
+
+    Only texts go to Python, and only numbers come back.
+    """
+    p = _probability(docs.sparkSession.sparkContext.broadcast(model))(F.col("text").cast("string"))
+    return docs.where(p >= THRESHOLD)

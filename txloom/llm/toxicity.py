@@ -10,10 +10,13 @@ comparable across lengths by extreme-value statistics (Karlin and Altschul): lam
 solves sum p exp(lambda s) = 1 over ordinary words, K is fitted on ordinary
 documents; a passage of score S in n words has normalized score lambda S - ln(K n).
 A logistic curve over the best and the summed significant scores gives the probability.
+K and the curve are fitted on a fifth of the labelled documents whose tokens were not
+counted, where that fifth has both kinds.
 
 Defined results: null and empty texts have no words and get the score of a document
-without any passage; repeated rows get equal scores; without labels of both kinds
-every score is 0; other columns are ignored.
+without any passage; repeated rows and null ids get the score of their text; without
+labels of both kinds every score is 0; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import texts_of
+from .encode import runs_of, texts_of
 from .labelled import SAMPLE, held_out, training_rows
+from .workspace import Workspace
 
 THRESHOLD = 0.7
 LEAST_DOCS = 4
@@ -116,11 +120,10 @@ def probability(model: Model, best: float, total: float) -> float:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, label, documents) of each batch."""
-    for b in batches:
-        label = b.column(b.schema.get_field_index("label")).to_pylist()
+    """(token, label, documents) of each run of texts."""
+    for label, some in texts_of(batches, "label"):
         docs: list[Counter] = [Counter(), Counter()]
-        for k, text in zip(label, b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), strict=True):
+        for k, text in zip(label, some, strict=True):
             docs[k].update({t for w in set((text or b"").split()) for t in tokens(normal(w))})
         rows = [(t, k, c) for k in (0, 1) for t, c in docs[k].items()]
         cols = list(zip(*rows, strict=True)) or [[]] * 3
@@ -138,9 +141,9 @@ def _evidence(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table = WordScores(model.scores)
-        for b in batches:
+        for label, some in texts_of(batches, "label"):
             best, total, top, n = [], [], [], []
-            for text in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
+            for text in some:
                 words = (text or b"").split()
                 s = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
                 x, y = features(model, s)
@@ -148,7 +151,7 @@ def _evidence(shared):
                 total.append(y)
                 top.append(max((v for _, _, v in segments(s)), default=0.0))
                 n.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("label")), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(top, pa.float64()), pa.array(n, pa.int64())], names=["label", "best", "total", "top", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(top, pa.float64()), pa.array(n, pa.int64())], names=["label", "best", "total", "top", "n"])
 
     return run
 
@@ -182,10 +185,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """A model from labelled documents that are not held out; tokens are counted where the documents are."""
+    """A model from labelled documents that are not held out; the documents are read once, for the training rows."""
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, "toxic", most)
-    counts = rows.select("text", "label").mapInArrow(_counts, "token string, label int, docs long")
+    ws = Workspace(spark, "toxicity")
+    rows = ws.save(training_rows(docs, labels, "toxic", most).select("text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("aside")), "training")
+    kinds = {(r["aside"], r["label"]) for r in rows.select("aside", "label").distinct().collect()}  # at most four
+    apart = len(kinds) == 4
+    counted = rows.where("not aside") if apart else rows
+    fitted = rows.where("aside") if apart else rows
+    counts = counted.select("text", "label").mapInArrow(_counts, "token string, label int, docs long")
     one = lambda k: F.sum(F.when(F.col("label") == k, F.col("docs")).otherwise(0))
     both = counts.groupBy("token").agg(one(1).alias("y1"), one(0).alias("y0")).persist()
     totals = both.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0")).first()
@@ -204,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             kept.append((d - DRIFT, r["y0"] / n0))
             rest -= r["y0"] / n0
     model.rate = _solve_rate([*kept, (-DRIFT, rest)])
-    evidence = lambda: rows.select("text", "label").mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "label int, best double, total double, top double, n long").toPandas()
+    evidence = lambda: fitted.select("text", "label").mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "label int, best double, total double, top double, n long").toPandas()
     e = evidence()  # five numbers for each document of the sample
     clean = e[e.label == 0]
     exponent = np.clip(model.rate * clean.top, 0, 600)
@@ -220,11 +228,7 @@ def _scored(shared):
         model = shared.value
         table = WordScores(model.scores)
         for keys, some in texts_of(batches, "doc_id"):
-            out = []
-            for text in some:
-                words = (text or b"").split()
-                s = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
-                out.append(probability(model, *features(model, s)))
+            out = [score_of(model, t, table) for t in some]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -237,24 +241,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _unflagged(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score_of(model: Model, text: bytes | None, table: WordScores) -> float:
+    words = (text or b"").split()
+    return probability(model, *features(model, np.fromiter(map(table.__getitem__, words), np.float64, len(words))))
+
+
+def _probability(shared):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         table = WordScores(model.scores)
-        for b in batches:
-            keep = []
-            for text in b.column(b.schema.get_field_index("text")).cast(pa.large_binary()):
-                words = (text.as_py() or b"").split()
-                s = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
-                keep.append(probability(model, *features(model, s)) < THRESHOLD)
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for column in columns:
+            yield pa.array([score_of(model, t, table) for _, _, some in runs_of(column) for t in some], pa.float64())
 
-    return run
+    return F.arrow_udf(run, "double")
+
+
+def toxicity(docs: DataFrame, model: Model) -> Column:
+    """The score of the column ``text``; only texts go to Python, and only numbers come back."""
+    return _probability(docs.sparkSession.sparkContext.broadcast(model))(F.col("text").cast("string"))
 
 
 def unflagged(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; nothing is shuffled."""
-    return docs.mapInArrow(_unflagged(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.where(toxicity(docs, model) < THRESHOLD)
 
 
 def _passages(shared):

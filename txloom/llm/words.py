@@ -8,7 +8,7 @@ hashes of its words in order.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -31,7 +31,15 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
+_kept: list = ["", None]
+
+
+def kept(name: str, make: Callable[[], dict]) -> dict:
+    """A worker's table of the kind that was used last; workers outlive stages, the tables of other stages don't."""
+    if _kept[0] != name:
+        _kept[:] = [name, None]  # the old one goes before the new one comes
+        _kept[1] = make()
+    return _kept[1]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -39,7 +47,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(kept("hashes", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,10 +73,3 @@ def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
 def shingle_set(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     return np.unique(shingles(word_hashes(words_of(text)), width))
-
-
-def texts(column) -> Iterable[bytes | None]:
-    """The UTF-8 bytes of an Arrow string column."""
-    import pyarrow as pa
-
-    return column.cast(pa.binary()).to_pylist()
