@@ -8,31 +8,36 @@ the item lacks at most n - needed(n) of its shingles, so it has at least one of
 sketch: the search misses nothing, however long the document is. Candidates are
 confirmed by exact containment of whole shingle sets.
 
-The sketches and item sets go to the tasks as sorted arrays while the benchmark has
-at most ``BROADCAST_SHINGLES`` shingles; a larger one is searched in slices of items
-of that size, each a pass over the documents.
-
-Defined results: items without words are held by none; under five words the whole
-sequence is the one shingle, matched in documents by that many consecutive words;
-repeated ``item_id``s are items of their own, and a pair is given once with its best
-containment; null and empty texts hold nothing; other columns are ignored.
+Any order of the shingles gives such a sketch; here shingles that few items have come
+first, then the least hashes, so that a phrase that many items share is rarely in one.
+
+The sketches and item sets go to the tasks as sorted arrays of bounded size: items are
+taken in slices of at most ``SLICE_WORDS`` words, about 16 bytes each in every worker. A
+benchmark of more than one slice makes a pass over the documents for each.
+
+Defined results: items without words are held by none, and rows with a null ``item_id``
+are no items; under five words the whole sequence is the one shingle, matched in
+documents by that many consecutive words; repeated ``item_id``s are items of their own,
+and a pair is given once with its best containment; documents are told apart by
+``doc_id``, null included, so a repeated one gives a pair once; null and empty texts hold
+nothing; other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import texts_of
+from .encode import runs_of, texts_of
 from .words import SHINGLE, shingle_set, shingles, word_hashes, words_of
+from .workspace import Workspace, bounded_batches
 
 NUMERATOR, DENOMINATOR = 75, 100
-BROADCAST_SHINGLES = 4_000_000
+SLICE_WORDS = 2_000_000
 SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int"
 
 
@@ -42,51 +47,50 @@ def needed(n: int) -> int:
 
 
 class Index:
-    """Sketches by shingle width: sorted hashes, and for each the items that have it in their sketch."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.items: list[tuple[int, np.ndarray]] = []
-        by_width: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            own = shingle_set(text)
-            if not len(own):
-                continue
-            # shingle hashes are uniform 64-bit values, so their order is a random order of the shingles
-            for h in own[: len(own) - needed(len(own)) + 1].tolist():
-                by_width[min(SHINGLE, len(words_of(text)))][h].append(len(self.items))
-            self.items.append((item_id, own))
-        self.widths = [(w, np.array(sorted(t), np.uint64), t) for w, t in sorted(by_width.items())]
-        # a bit for each low part of a sketched hash: most shingles end here
-        self.filters = [self._filter(keys) for _, keys, _ in self.widths]
+    """Items' sets in one array, and by shingle width the sketched hashes, sorted, each beside its item."""
 
     BITS = 22
 
-    def _filter(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << self.BITS, bool)
-        out[(keys & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
-        return out
+    def __init__(self, items: list[tuple[int, bytes]]):
+        sets = [(item_id, min(SHINGLE, len(words_of(text))), shingle_set(text)) for item_id, text in items]
+        sets = [s for s in sets if len(s[2])]
+        self.ids = [s[0] for s in sets]
+        self.ends = np.cumsum([0, *(len(s[2]) for s in sets)])
+        self.flat = np.concatenate([s[2] for s in sets]) if sets else np.zeros(0, np.uint64)
+        values, counts = np.unique(self.flat, return_counts=True)
+        sketches: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, width, own) in enumerate(sets):
+            often = counts[np.searchsorted(values, own)]
+            # hashes are uniform 64-bit values, so their order is a random order of the shingles
+            first = own[np.lexsort((own, often))[: len(own) - needed(len(own)) + 1]]
+            sketches.setdefault(width, []).append((first, k))
+        self.widths = [(w, *self._table(own)) for w, own in sorted(sketches.items())]
+
+    def _table(self, own: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.concatenate([first for first, _ in own])
+        item = np.repeat(np.array([k for _, k in own], np.int32), [len(first) for first, _ in own])
+        order = np.argsort(keys, kind="stable")
+        # a bit for each low part of a sketched hash: most shingles end here
+        bits = np.zeros(1 << self.BITS, bool)
+        bits[(keys & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
+        return keys[order], item[order], bits
 
-    def held(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+    def held(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item_id, size, shared) of the items that a document of these word hashes holds."""
-        out = []
-        for (width, keys, table), bits in zip(self.widths, self.filters, strict=True):
+        for width, keys, items, bits in self.widths:
             if len(words) < width:
                 continue
             runs = shingles(words, width)
             maybe = runs[bits[(runs & np.uint64((1 << self.BITS) - 1)).astype(np.int64)]]
-            if not len(maybe):
-                continue
-            at = np.minimum(np.searchsorted(keys, maybe), len(keys) - 1)
-            hits = np.unique(maybe[keys[at] == maybe])
-            if not len(hits):
+            lo, hi = np.searchsorted(keys, maybe), np.searchsorted(keys, maybe, side="right")
+            if not (hi > lo).any():
                 continue
             own = np.unique(runs)
-            for k in sorted({k for h in hits.tolist() for k in table[h]}):
-                item_id, item = self.items[k]
+            for k in np.unique(np.concatenate([items[a:b] for a, b in zip(lo, hi, strict=True) if b > a])).tolist():
+                item = self.flat[self.ends[k] : self.ends[k + 1]]
                 shared = len(np.intersect1d(item, own, assume_unique=True))
                 if shared >= needed(len(item)):
-                    out.append((item_id, len(item), shared))
-        return out
+                    yield self.ids[k], len(item), shared
 
 
 def _search(shared):
@@ -100,41 +104,66 @@ def _search(shared):
     return run
 
 
-def slices(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's items in lists of at most BROADCAST_SHINGLES words, one at a time."""
+def _holds(shared):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = shared.value
+        for column in columns:
+            found = [bool(t) and next(index.held(word_hashes(words_of(t))), None) is not None for _, _, some in runs_of(column) for t in some]
+            yield pa.array(found, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
+def slices(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the benchmark's items, of at most SLICE_WORDS words (or one item) each, one at a time."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").orderBy("item_id", "text")
     own, size = [], 0
     for r in items.toLocalIterator():
         text = (r["text"] or "").encode()
         own.append((r["item_id"], text))
-        size += text.count(b" ") + text.count(b"\n") + 1
-        if size >= BROADCAST_SHINGLES:
-            yield own
+        size += len(text.split())
+        if size >= SLICE_WORDS:
+            yield Index(own)
             own, size = [], 0
     if own:
-        yield own
+        yield Index(own)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment): the pairs where the document holds the item."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").orderBy("item_id", "text")
-    found = spark.createDataFrame([], SCHEMA)
-    for own in slices(items):
-        part = texts.mapInArrow(_search(spark.sparkContext.broadcast(Index(own))), SCHEMA)
-        found = found.unionByName(part)
+    found, ws, before = spark.createDataFrame([], SCHEMA), None, None
+    for k, index in enumerate(slices(benchmark)):
+        if before is not None:  # several slices: the pass of each is written, so that its index can go
+            ws = ws or Workspace(spark, "decontamination")
+            found = found.unionByName(ws.save(before[0], f"slice-{k}"))
+            before[1].destroy()
+        shared = spark.sparkContext.broadcast(index)
+        before = (texts.mapInArrow(_search(shared), SCHEMA), shared)
+    found = found.unionByName(before[0]) if before is not None else found
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item_shingles")).alias("containment"), "n_item_shingles", "n_shared")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_item_shingles", "b.n_shared", "b.containment")
 
 
-#: The same pairs in SQL; documents and items of five words or more.
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns: decided row by row, whatever the ids; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    for index in slices(benchmark):
+        docs = docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(index))(F.col("text").cast("string")))
+    return docs
+
+
+#: The same pairs in SQL. Items under five words are looked for by their whole sequence.
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+width AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d, width WHERE len(w) >= k),
+bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM b, width WHERE k = least(len(w), 5)),
+n AS (SELECT item_id, k, count(*) AS n FROM bs GROUP BY item_id, k),
+m AS (SELECT doc_id, item_id, k, count(*) AS c FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id, k)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_item_shingles, CAST(c AS INTEGER) AS n_shared, CAST(c AS DOUBLE) / n AS containment
-FROM m JOIN n USING (item_id) WHERE 100 * c >= 75 * n
+FROM m JOIN n USING (item_id, k) WHERE 100 * c >= 75 * n
 """

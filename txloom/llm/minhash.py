@@ -18,12 +18,17 @@ nearest signatures first and none that confirmed links have joined already, and
 spanning links. A pair that shares several buckets is a candidate in the first only.
 
 Defined results: null or empty texts and texts of white space have an empty set and
-link with nothing; under five words the whole sequence is the one shingle; repeated
-``doc_id``s count as one document; other columns are ignored; an empty table gives none.
+link with nothing; under five words the whole sequence is the one shingle; every row is
+a document of its own, also under a repeated or null ``doc_id``, so rows of one id link
+by their texts only; null ids come after all others: a group with an id goes by its
+least, a group of null ids only has a null ``component_id`` and all its rows are kept by
+the rule that equal ids are; other columns are ignored; an empty table gives none.
+``deduplicated`` keeps one row of each group in any case.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +48,8 @@ FAR = 44
 SMALL = 128
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK = 512
-#: Most class ids that are broadcast; beyond that the join shuffles.
-BROADCAST_IDS = 500_000
+#: Most rows of (id, digest of a text) that are broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(9))
 FACTORS = _rng.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -68,8 +73,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, some in texts_of(batches, "doc_id"):
         sets = [shingle_set(t) for t in some]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.array([signature(x) if len(x) else None for x in sets], pa.binary())],
-            names=["doc_id", "n_shingles", "fp", "sig"],
+            [pa.array(keys, pa.int64()), pa.array([hashlib.md5(t or b"").digest() for t in some], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.array([signature(x) if len(x) else None for x in sets], pa.binary())],
+            names=["doc_id", "digest", "n_shingles", "fp", "sig"],
         )
 
 
@@ -252,21 +257,32 @@ def _undone(found: DataFrame, done: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+def _order():
+    """Rows of a group in this order: the least has the least id, nulls last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+
+
+def _rows_among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, digest of the text) is among ``keys`` (left_semi), or isn't (left_anti)."""
+    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
+    keys = keys.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__text"))
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__digest") == F.col("__text"))
+    return own.join(keys, same, how).drop("__id", "__digest")
+
+
+def _grouped(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, label) for each row, a null label for empty sets; and (label, head), the least row of each label."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = ws.save(docs.mapInArrow(_signed, "doc_id long, n_shingles long, fp binary, sig binary"), "signed")
-    classes = signed.where("fp is not null").groupBy("fp").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
+    signed = ws.save(docs.mapInArrow(_signed, "doc_id long, digest binary, n_shingles long, fp binary, sig binary"), "signed")
+    classes = signed.where("fp is not null").groupBy("fp").agg(F.first("sig").alias("sig"), F.min(_order()).alias("one"))
     keys = classes.select("fp", "sig").mapInArrow(_keyed, "key long, slot byte, fp binary")
     first = keys.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").drop("last")
     shared = ws.save(keys.join(first, "key"), "shared")
     known = ws.save(classes.join(shared.select("fp").distinct(), "fp", "left_semi"), "known")
     sigs = known.select("fp", "sig")
-
-    ids = known.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "fp binary, items binary").join(F.broadcast(known.select("fp")) if known.count() <= BROADCAST_IDS else known.select("fp"), "fp", "left_semi")
+    sets = _rows_among(docs, known.select("one.doc_id", "one.digest"), "left_semi").mapInArrow(_sets, "fp binary, items binary")
     sets = ws.save(sets.groupBy("fp").agg(F.first("items").alias("items")), "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
@@ -287,8 +303,29 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     more = confirm(_undone(small, done), "confirmed-1").where("linked").select("a", "b")
     more = ws.save(more.unionByName(_tiles(rows.where(F.col("n") > SMALL), sets)), "more")
     labels = components(links.unionByName(more), ws)
-    rows = signed.select("doc_id", "n_shingles", "fp").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    # written first, so that the join below has plain exchanges, which adaptive execution splits at a hot component
-    heads = ws.save(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head")), "heads")
-    out = rows.join(heads, "label", "left").select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    for name in ("shared", "sets", "mixed"):
+        ws.drop(name)
+    rows = signed.select("doc_id", "digest", "n_shingles", "fp").join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("doc_id", "digest", "n_shingles", F.coalesce("component", "fp").alias("label"))
+    # written first, so that joins with it have plain exchanges, which adaptive execution splits at a hot component
+    return rows, ws.save(rows.where("label is not null").groupBy("label").agg(F.min(_order()).alias("head")), "heads")
+
+
+def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+    rows, heads = _grouped(docs, ws)
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    out = rows.join(heads, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one row of each group: that of the least id. Rows without words all stay."""
+    rows, heads = _grouped(docs, ws)
+    placed = ws.save(rows.join(heads, "label").select("doc_id", "digest", (_order() == F.col("head")).alias("least")), "placed")
+    kept = _rows_among(docs, placed.where("not least").select("doc_id", "digest").distinct(), "left_anti")
+    # the least row itself may be there several times
+    repeated = placed.where("least").groupBy("doc_id", "digest").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    first = _rows_among(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows_among(kept, repeated, "left_anti").unionByName(first)
