@@ -3,13 +3,16 @@
 Toxic documents go, then those of low quality, then all but one of each group of near
 duplicates, then those that hold a benchmark item; the rest is packed into sequences.
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
-Stages on empty tables give empty tables.
+
+Decisions are made for each row, so rows with a repeated or null ``doc_id`` are documents
+of their own: none goes for what another row of its id holds. Null and empty texts are
+scored, link with nothing and hold nothing; other columns are passed on. Stages on empty
+tables give empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from txloom.llm import decontam, minhash, packing, quality, toxicity
 from txloom.llm.encode import default_tokenizer
@@ -17,18 +20,6 @@ from txloom.llm.queries import table
 from txloom.llm.workspace import Workspace
 
 
-#: Most ids that are broadcast to drop their documents; more of them shuffle.
-BROADCAST_IDS = 500_000
-
-
-def _without(docs: DataFrame, ids: DataFrame, ws: Workspace) -> DataFrame:
-    """The documents whose id is not among ``ids``; those with a null id stay."""
-    ids = ws.save(ids.select("doc_id").distinct(), "dropped")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return toxicity.unflagged(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,14 +32,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near duplicates."""
-    ws = Workspace(spark, "pipeline-minhash")
-    return _without(docs, minhash.near_duplicates(docs, ws).where("not kept"), ws)
+    return minhash.deduplicated(docs, Workspace(spark, "pipeline-minhash"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ws = Workspace(spark, "pipeline-decontamination")
-    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), ws)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained stages can't be written in SQL; the tests hold each stage against a brute-force version.
+#: Trained stages can't be written in SQL; tests/llm holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
