@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a folder of this machine where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset and all runs on one machine, below a folder of it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
