@@ -115,6 +115,8 @@ def test_planted_pattern(spark, fanout, found):
     empty = spark.createDataFrame([], TX)
     planted = rows.plant_scatter_gather(empty, ("1", "A"), ("2", "C"), fanout, "2022/09/01 08:00", 10.0, "US Dollar")
     assert planted.count() == 2 * fanout
+    got = sorted((r.ts_text, r.amount_paid, r.payment_format) for r in planted.collect())
+    assert got == [(f"2022/09/01 08:{k:02}", 10 + k, rows.PAYMENT_FORMATS[k % fanout % 6]) for k in range(2 * fanout)]
     pairs = flagship.scatter_gather(planted, "2022/09/01,2022/09/05")
     assert pairs.count() == found
     assert flagship.scatter_gather_accounts(pairs).count() == 2 * found
@@ -171,6 +173,15 @@ def test_csv(spark):
     assert [r.value for r in spark.read.text(out).collect()] == ["client_id,n"]
 
 
+def test_folders_need_a_shared_one_on_a_cluster():
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.folder(Cluster, "x")
+
+
 def test_silence(spark):
     at = lambda h: dt.datetime(2024, 1, 1, h)
     events = spark.createDataFrame([("a", at(1)), ("a", at(9)), ("b", at(11))], "e string, ts timestamp")
@@ -188,6 +199,12 @@ def test_streams_end_as_batches(spark, sf_dir):
     twice = readers.event_stream(spark, sf_dir)
     doubled = jobs.once(twice.unionByName(readers.event_stream(spark, sf_dir)), ["event_id"])
     assert doubled.count() == batch.select("event_id").distinct().count()
+    at = dt.datetime(2024, 1, 1)
+    path = scratch.folder(spark, "replays")
+    kind = "client_id string, request_id string, ts timestamp"
+    spark.createDataFrame([("c1", "r1", at), ("c1", "r1", at), ("c2", "r1", at), ("c1", None, at), ("c1", None, at), (None, "r1", at), (None, "r1", at)], kind).write.parquet(path)
+    left = jobs.once(spark.readStream.schema(kind).parquet(path), ["client_id", "request_id"])
+    assert sorted((str(r.client_id), str(r.request_id)) for r in left.collect()) == [("None", "r1"), ("None", "r1"), ("c1", "None"), ("c1", "None"), ("c1", "r1"), ("c2", "r1")]
     assert jobs.windowed_counts(readers.event_stream(spark, sf_dir), "1 day", "1 hour").agg(F.sum("n")).first()[0] == batch.count()
 
 
@@ -195,13 +212,14 @@ def test_silent_alert_stream(spark):
     path, out = scratch.folder(spark, "beats"), scratch.folder(spark, "alerts-checkpoint")
     spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2))], "e string, ts timestamp").write.parquet(path)
     jobs.rocksdb(spark)
-    query = jobs.silent_alerts(spark.readStream.schema("e string, ts timestamp").parquet(path), "e", 500).writeStream.format("memory").queryName("alerts").outputMode("update").option("checkpointLocation", out).trigger(processingTime="1 second").start()
+    roster = spark.createDataFrame([("c",), ("c",)], "e string")
+    query = jobs.silent_alerts(spark.readStream.schema("e string, ts timestamp").parquet(path), "e", 500, roster).writeStream.format("memory").queryName("alerts").outputMode("update").option("checkpointLocation", out).trigger(processingTime="1 second").start()
     try:
         for _ in range(60):
             query.awaitTermination(1)
-            if spark.table("alerts").select("e").distinct().count() == 2:
+            if spark.table("alerts").select("e").distinct().count() == 3:
                 break
-        assert {r.e for r in spark.table("alerts").collect()} == {"a", "b"}
+        assert {(r.e, r.last_ts) for r in spark.table("alerts").collect()} == {("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2)), ("c", None)}
     finally:
         query.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

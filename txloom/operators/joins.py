@@ -113,7 +113,10 @@ def filled_rates(rates: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def once_by_id(rows: DataFrame, *ids: str, order: list[str]) -> DataFrame:
-    """One row for each id, the first of ``order``; rows with a null id are never duplicates."""
+    """One row for each id, the first of ``order``; rows with a null id are never duplicates.
+
+    The least struct of all columns is taken, so none of them may be a map.
+    """
     last = ids[-1]
     known = rows.where(F.col(last).isNotNull())
     rest = [c for c in rows.columns if c not in ids and c not in order]

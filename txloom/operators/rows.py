@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from txloom import schemas
 from txloom.functions import scalars
 
+#: Payment formats in the order in which planted rows take them (fixed values).
+PAYMENT_FORMATS = ("Wire", "ACH", "Cheque", "Credit Card", "Cash", "Reinvestment")
+
 
 def project(df: DataFrame, fields: list[str], int_fields: tuple[str, ...] = (), tenant: str | None = "client_id", rename: dict[str, str] | None = None) -> DataFrame:
     """The listed columns in order, absent ones left out; the tenant column always stays.
@@ -66,8 +69,8 @@ def bernoulli_sample(df: DataFrame, percent: float, seed: int) -> DataFrame:
 
 
 def head_sample(df: DataFrame, percent: float, *order: str) -> DataFrame:
-    """The first int(n * percent / 100) rows of an order."""
-    return df.orderBy(*order).limit(int(df.count() * percent / 100))
+    """The first int(n * percent / 100) rows of an order, by ranks over range partitions: a tenth of a large table is large."""
+    return with_rank(df, *order).where(F.col("_rank") <= int(df.count() * percent / 100)).drop("_rank")
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -81,7 +84,11 @@ def partitioned(df: DataFrame, buckets: int, *keys: str, tenant: str | None = No
 
 
 def plant_scatter_gather(df: DataFrame, source: tuple[str, str], target: tuple[str, str], fanout: int, ts_text: str, amount: float, currency: str) -> DataFrame:
-    """Append source -> B_i and B_i -> target for i below ``fanout`` (2..64), minutes and amounts staggered."""
+    """Append source -> B_i and B_i -> target for i below ``fanout`` (2..64).
+
+    Minutes and amounts count up over the first legs and go on over the second; both legs
+    of B_i have the same payment format, and formats take turns.
+    """
     if not 2 <= fanout <= 64:
         raise ValueError("fanout must be from 2 to 64")
     schemas.require(df, "ts_text", "from_bank", "from_account", "to_bank", "to_account", "amount_paid", "payment_currency", "payment_format")
@@ -90,15 +97,15 @@ def plant_scatter_gather(df: DataFrame, source: tuple[str, str], target: tuple[s
     hops = spark.range(fanout).crossJoin(spark.range(2).withColumnRenamed("id", "leg"))  # at most 128 rows
     middle_bank, middle = F.lpad((900 + F.col("id") % 50).cast("string"), 3, "0"), F.concat(F.lit("MID"), F.lpad(F.col("id").cast("string"), 3, "0"))
     first = F.col("leg") == 0
-    minutes = (F.col("id") + F.col("leg") * fanout).cast("int")
+    step = F.col("id") + F.col("leg") * fanout
     rows = hops.select(
-        F.date_format(start + F.make_interval(mins=minutes), "yyyy/MM/dd HH:mm").alias("ts_text"),
+        F.date_format(start + F.make_interval(mins=step.cast("int")), "yyyy/MM/dd HH:mm").alias("ts_text"),
         F.when(first, F.lit(source[0])).otherwise(middle_bank).alias("from_bank"),
         F.when(first, F.lit(source[1])).otherwise(middle).alias("from_account"),
         F.when(first, middle_bank).otherwise(F.lit(target[0])).alias("to_bank"),
         F.when(first, middle).otherwise(F.lit(target[1])).alias("to_account"),
-        (F.lit(amount) + F.col("id") * 0.25 - F.col("leg") * 0.125).cast(df.schema["amount_paid"].dataType).alias("amount_paid"),
+        (F.lit(amount) + step).cast(df.schema["amount_paid"].dataType).alias("amount_paid"),
         F.lit(currency).alias("payment_currency"),
-        F.lit("Wire").alias("payment_format"),
+        F.array(*map(F.lit, PAYMENT_FORMATS))[(F.col("id") % len(PAYMENT_FORMATS)).cast("int")].alias("payment_format"),
     )
     return df.unionByName(rows, allowMissingColumns=True)

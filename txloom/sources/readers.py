@@ -95,7 +95,10 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as client requests; some ids are missing and some come twice."""
-    e = read_table(spark, sf_dir, "events")
+    return _requests(read_table(spark, sf_dir, "events"))
+
+
+def _requests(e: DataFrame) -> DataFrame:
     client = F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string"))
     request = F.when(F.col("event_id") % 11 > 0, F.concat_ws(":", client, (F.col("user_id") % 17).cast("string"), F.lit("q1"), (F.col("event_id") % 700).cast("string")))
     return e.select("event_id", client.alias("client_id"), request.alias("request_id"), "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), "user_id")
@@ -105,5 +108,4 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, with the columns of ``requests``."""
     schema = read_table(spark, sf_dir, "events").schema
     # a pattern, since a stream takes one file only through a pattern
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return e.select("event_id", F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("client_id"), "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return _requests(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))

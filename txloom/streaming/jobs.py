@@ -7,8 +7,9 @@ stopped. ``run_to_end`` takes what is there (``availableNow``) and gives the end
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txloom import scratch
@@ -33,9 +34,9 @@ def run_to_end(stream: DataFrame, mode: str, name: str, checkpoint: str | None =
     return spark.read.schema(schema).parquet(table).select(*schema.names)
 
 
-def count_by_client(events: DataFrame) -> DataFrame:
-    """Running count of each client."""
-    return run_to_end(events.groupBy("client_id").agg(F.count("*").alias("count")), "complete", "count")
+def count_by_client(events: DataFrame, checkpoint: str | None = None, table: str | None = None) -> DataFrame:
+    """Running count of each client; with the checkpoint and table of an earlier run it goes on from there."""
+    return run_to_end(events.groupBy("client_id").agg(F.count("*").alias("count")), "complete", "count", checkpoint, table)
 
 
 def largest_by_client(events: DataFrame) -> DataFrame:
@@ -51,14 +52,28 @@ def distinct_by_group(events: DataFrame, group: list[str], value: list[str], exp
     return aggregates.distinct_values(distinct, group, value, expected, comparison)
 
 
-def once(events: DataFrame, key: list[str], delay: str = "3650 days") -> DataFrame:
-    """Replays of a key within the watermark's delay are dropped; rows with a null key part all stay."""
-    known = events.where(F.col(key[-1]).isNotNull()).withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
-    return run_to_end(known, "append", "once")
+def once(events: DataFrame, key: list[str], delay: str = "3650 days", checkpoint: str | None = None, table: str | None = None) -> DataFrame:
+    """Replays of a key within the watermark's delay are dropped; rows with a null key part are never replays and all stay.
+
+    The remembered keys are in the checkpoint, so replays after a restart are dropped as well.
+    """
+    missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
+    late = events.withWatermark("ts", delay)
+    return run_to_end(late.where(~missing).dropDuplicatesWithinWatermark(key).unionByName(late.where(missing)), "append", "once", checkpoint, table)
+
+
+def count_after_discard(events: DataFrame, owner: str, discard: Column, checkpoint: str | None = None, table: str | None = None) -> DataFrame:
+    """Running count of each client without the parts (``owner``) that a row discards, whether it comes before or after them.
+
+    What is kept of a part is a number and whether it was discarded; rows without an owner always count.
+    """
+    parts = events.groupBy("client_id", owner).agg(F.count("*").alias("count"), F.max(F.when(discard, True).otherwise(False)).alias("gone"))
+    ended = run_to_end(parts, "complete", "discard", checkpoint, table)
+    return ended.where(F.col(owner).isNull() | ~F.col("gone")).groupBy("client_id").agg(F.sum("count").alias("count"))
 
 
 def two_inputs(first: DataFrame, second: DataFrame, finish: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Both streams land in tables of their own; ``finish`` runs when both have ended."""
+    """Both streams land in tables of their own, rows of either wait there; ``finish`` runs when both have ended."""
     return finish(run_to_end(first, "append", "first"), run_to_end(second, "append", "second"))
 
 
@@ -68,11 +83,12 @@ def windowed_counts(events: DataFrame, width: str, delay: str) -> DataFrame:
     return run_to_end(counts.select(F.col("w.start").alias("start"), "event_type", "n"), "complete", "windows")
 
 
-def silent_alerts(events: DataFrame, entity: str, timeout_ms: int) -> DataFrame:
+def silent_alerts(events: DataFrame, entity: str, timeout_ms: int, roster: DataFrame | None = None) -> DataFrame:
     """A streaming frame of (entity, last_ts, alerts): an alert each time an entity is silent for the timeout.
 
-    The clock restarts with each event and each alert; time is processing time. Needs the
-    RocksDB state store provider.
+    The clock restarts with each event and each alert; time is processing time. Entities of
+    the roster are watched from the start, and have no ``last_ts`` until they report. Needs
+    the RocksDB state store provider.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -84,13 +100,17 @@ def silent_alerts(events: DataFrame, entity: str, timeout_ms: int) -> DataFrame:
 
         def handleInputRows(self, key, rows, timerValues):
             newest = max(frame["ts"].max() for frame in rows)
-            old = self.last.get() if self.last.exists() else (newest, 0)
+            ts, alerts = self.last.get() if self.last.exists() else (None, 0)
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.last.update((max(old[0], newest), old[1]))
+            self.last.update((newest if ts is None else max(ts, newest), alerts))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + timeout_ms)
             yield pd.DataFrame()
 
+        def handleInitialState(self, key, initialState, timerValues):
+            self.last.update((None, 0))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + timeout_ms)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             ts, alerts = self.last.get()
             self.last.update((ts, alerts + 1))
@@ -101,7 +121,8 @@ def silent_alerts(events: DataFrame, entity: str, timeout_ms: int) -> DataFrame:
             pass
 
     kind = events.schema[entity].dataType.simpleString()
-    return events.select(entity, "ts").groupBy(entity).transformWithStateInPandas(Watch(), f"{entity} {kind}, last_ts timestamp, alerts long", "update", "processingTime")
+    known = roster.select(entity).distinct().groupBy(entity) if roster is not None else None
+    return events.select(entity, "ts").groupBy(entity).transformWithStateInPandas(Watch(), f"{entity} {kind}, last_ts timestamp, alerts long", "update", "processingTime", known)
 
 
 def rocksdb(spark: SparkSession) -> None:
