@@ -1,10 +1,11 @@
 """Licence scans by a trained paragraph classifier (operator 6), in DataFrame functions only.
 
-A paragraph (a line of a text) is described by its distinct word 1- and 2-grams. A
-multinomial logistic regression over them gives each licence family, and a class for
-text that grants no licence, a probability; the weights are trained here, on the
-driver, from the public notices below, mutilated copies of them and everyday
-sentences that use the same words. A temperature fitted on copies kept from training
+A paragraph is a line, with the lines that wrap on from it: a line break is a wrap where
+the line before it has no final mark, no more than 120 letters, and no room for the
+next word, behind comment marks or not. It is described by its distinct word 1- and 2-grams. A multinomial logistic regression over them gives each licence family, and a
+class for text that grants no licence, a probability; the weights are trained here, on
+the driver, from paragraphs of public notices, mutilated copies and pieces of them and
+everyday sentences that use the same words. A temperature fitted on copies kept from training
 calibrates the probabilities; under ``SURE`` the family is unknown. A prediction is
 confirmed when the paragraph holds ``LIKE`` of the word 3-grams of one of the family's
 notices.
@@ -12,11 +13,12 @@ notices.
 ``score`` describes every paragraph with a word and gives each a row. ``scan`` leaves
 out those that stay unknown and have no word of ``ANCHORS``.
 The weights and notices are small tables bounded by the notices, so they are broadcast.
-A notice wrapped over several lines is several paragraphs, each scored by itself.
+Sentences that several licences share (disclaimers) name none: they are unknown.
 
 Defined results: null and empty texts have no paragraphs; a text's equal paragraphs
-are rows of their own, by place; repeated documents repeat their rows; other columns
-are ignored; an empty table gives an empty result.
+are rows of their own, by place; repeated documents and null ids have their own rows; of
+families that tie in probability the first wins; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,95 +30,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import NOTICES, OTHERS
+
 SURE = 0.6
 LIKE = 0.6
 UNKNOWN = "unknown"
 
-#: Short public notices of the families (fixed values).
-NOTICES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache 2.0 license.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-        "Distributed under the GPL v3 license.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "Distributed under the GPL v2 license.",
-        "SPDX-License-Identifier: GPL-2.0-only",
-    ),
-    "LGPL": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-    ),
-    "AGPL-3.0": (
-        "This work is licensed under the GNU Affero General Public License, version 3.",
-        "SPDX-License-Identifier: AGPL-3.0-only",
-    ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Licensed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
-        "Released under the ISC License.",
-    ),
-    "CC-BY-NC": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "CC-BY-SA": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ),
-    "CC-BY": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "CC0": (
-        "Dedicated to the public domain under CC0 1.0 Universal.",
-        "This is free and unencumbered software released into the public domain.",
-    ),
-}
-#: Sentences with the same words that grant nothing (fixed values).
-OTHERS = (
-    "She lost her driving license on the way to work.",
-    "The license plate of the car was covered in mud.",
-    "You need permission from the owner to enter this building.",
-    "A fishing licence costs twenty euros in this version of the rules.",
-    "The general public is free to use the park.",
-    "Copyright law was discussed at the meeting of the foundation.",
-    "The software license fee is due at the end of the month.",
-    "Apache helicopters were released to the army.",
-    "He studied at MIT and published three papers.",
-    "The source of the river is in the mountains under the snow.",
-    "All rights reserved.",
-    "Terms and conditions apply to this offer.",
-    "The warranty is void if the seal is broken.",
-    "This work was released in the spring and distributed by the author.",
-    "The public domain of the village was modified in version two of the plan.",
-)
-#: Each notice has at least one of these words.
+#: Words that speak of licences.
 ANCHORS = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "gpl", "cc", "cc0", "domain", "mozilla", "spdx")
-ANCHOR = r"(?i)\b(" + "|".join(ANCHORS) + r")\b"
+#: Letters of a line and of the next one's first word that don't fit into about 70 columns together.
+FULL = ((66, 1), (64, 4), (62, 6), (60, 8), (57, 11), (54, 14), (50, 18))
+#: A line break inside a paragraph (Java and ``regex`` syntax). Marks of comments may stand before the next line.
+WRAP = r"\n(?<=[^\s.!?:;][ \t\r]{0,4}\n)(?<=(?:\A|\n)[^\n]{50,120}\n)(?:" + "|".join(rf"(?<=[^\n]{{{a}}}\n)(?=[ \t#/*;>|-]*[^\s#/*;>|-]\S{{{b - 1}}})" for a, b in FULL) + ")"
 
 
 def words_of(text: str) -> list[str]:
@@ -153,6 +78,9 @@ def fit(copies: int = 12, steps: int = 250, ridge: float = 2e-4) -> Model:
             words = words_of(text)
             rows.append((grams(words), k, False))
             rows += [(grams(_mutilated(words, rng, fillers)), k, n % 4 == 3) for n in range(copies)]
+            if len(words) > 20:  # pieces, as a scan meets them where a wrap isn't seen
+                starts = [int(x) for x in rng.integers(0, len(words) - 12, copies // 2)]
+                rows += [(grams(words[x : x + 12 + int(rng.integers(0, 12))]), k, n % 4 == 3) for n, x in enumerate(starts)]
     for anchor in ANCHORS:  # an anchor among everyday words grants nothing
         rows += [(grams([*map(str, rng.choice(fillers, 4)), anchor, *map(str, rng.choice(fillers, 4))]), len(families) - 1, n == 3) for n in range(4)]
     vocabulary = {g: n for n, g in enumerate(sorted(set().union(*(r[0] for r in rows if not r[2]))))}
@@ -183,17 +111,19 @@ def fit(copies: int = 12, steps: int = 250, ridge: float = 2e-4) -> Model:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, paragraph, words) of the paragraphs with a word; ``paragraph`` counts all lines from 0."""
+    """(row, doc_id, paragraph, words) of the paragraphs with a word; ``paragraph`` counts all of them from 0, blank lines too."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows are told apart by a number of their own: a table may repeat a document
-    lines = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.split(F.regexp_replace("text", WRAP, " "), "\n")).alias("paragraph", "line"))
     return lines.select("row", "doc_id", "paragraph", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
 
-def _pairs(n: int):
-    """The n-grams of the column ``words``."""
-    parts = ", ".join(f"words[i + {k}]" for k in range(n))
-    return F.expr(f"if(size(words) < {n}, array(), transform(sequence(0, greatest(size(words) - {n}, 0)), i -> concat_ws(' ', {parts})))")
+def _runs(n: int):
+    """The n-grams of the column ``words``; every word is read a fixed number of times."""
+    out = F.col("words")
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda x: x.isNotNull())  # the shorter side is filled with nulls
 
 
 def threes(words: list[str]) -> list[str]:
@@ -210,12 +140,13 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     notices = spark.createDataFrame(list(theirs.items()), "family string, theirs array<array<string>>")
     known = sorted({x for own in theirs.values() for t in own for x in t})
 
-    mine = F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_pairs(3))
-    shared = F.filter(mine, lambda x: x.isin(known)).alias("shared")
+    mine = F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_runs(3))
+    # no longer than the notices, however long the paragraph
+    shared = F.array_distinct(F.filter(mine, lambda x: x.isin(known)))
     described = paragraphs(docs).withColumns({"shared": shared, "anchored": F.exists("words", lambda w: w.isin(*ANCHORS))})
     key = ["row", "doc_id", "paragraph", "shared", "anchored"]
     # the empty gram carries the bias, so a paragraph of unknown words has a row, too
-    own = described.select(*key, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "words", _pairs(2)))).alias("gram"))
+    own = described.select(*key, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "words", _runs(2)))).alias("gram"))
     summed = own.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(k)))
     scored = summed.select(*key, F.array(*(f"z{c}" for c in range(k))).alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int")).withColumn("p", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
