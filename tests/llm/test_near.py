@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from txloom.llm import decontam, minhash, vector_dedup
+import corpus_pipeline
+from txloom.llm import components, decontam, minhash, vector_dedup
 from txloom.llm.words import shingle_set
 from txloom.llm.workspace import Workspace
 
@@ -71,6 +72,75 @@ def test_near_duplicates_edges(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in minhash.near_duplicates(same, Workspace(spark, "t9c")).collect()) == [("5", "5"), ("5", "5"), ("None", "None")]
 
 
+ODD = [(3, "X"), (5, "X"), (5, "Y"), (9, "Y"), (None, "X near"), (None, "alone"), (None, "alone"), (8, "Y"), (8, "Y"), (7, None), (7, ""), (None, None)]
+
+
+def odd_documents(spark):
+    rng = random.Random(21)
+    base = {k: [f"w{rng.randrange(9000)}" for _ in range(80)] for k in ("X", "Y", "alone")}
+    near = [*base["X"]]
+    near[-1] = "other"
+    texts = {k: " ".join(v) for k, v in base.items()} | {"X near": " ".join(near), None: None, "": ""}
+    rows = [(i, texts[k], k or "") for i, k in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, label string"), texts
+
+
+def test_repeated_and_null_ids(spark):
+    docs, _ = odd_documents(spark)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, Workspace(spark, "t9d")).collect()), key=str)
+    want = [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (None, 3, False), (None, None, True), (None, None, True), (8, 5, False), (8, 5, False), (7, 7, True), (7, 7, True), (None, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_no_text_is_lost_and_none_is_left_twice(spark, sf_dir):
+    docs, texts = odd_documents(spark)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    want = [(3, "X"), (5, "Y"), (None, "alone"), (7, ""), (7, ""), (None, "")]
+    assert sorted(((r.doc_id, r.label) for r in kept.collect()), key=str) == sorted(want, key=str)
+    twice = docs.where("label = 'Y'").unionByName(docs.where("label = 'Y' and doc_id = 5"))
+    assert [r.doc_id for r in minhash.deduplicated(twice, Workspace(spark, "t9e")).collect()] == [5]
+    assert minhash.deduplicated(docs.limit(0), Workspace(spark, "t9f")).count() == 0
+
+
+def test_small_and_large_buckets_agree(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string").where("doc_id >= 100")
+    found = []
+    for small, block in ((128, 512), (1, 512), (1, 16), (10_000, 512)):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        found.append(sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, Workspace(spark, "t9g")).collect()))
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_pairs_at_the_threshold_are_candidates():
+    """Sets just over the limit share a key and have near signatures."""
+    rng = np.random.default_rng(12)
+    for _ in range(1500):
+        n = int(rng.integers(20, 600))
+        own = -(-2 * n * 75 // 175)  # shared values of two sets of n for a similarity of 0.75
+        values = rng.integers(0, 2**64, 2 * n - own, dtype=np.uint64)
+        one, two = np.sort(values[:n]), np.sort(values[n - own :])
+        assert minhash.linked(one, two)
+        same = np.frombuffer(minhash.signature(one), "<u2") == np.frombuffer(minhash.signature(two), "<u2")
+        assert (same[: minhash.INDEXED].reshape(-1, minhash.CHUNK).sum(axis=1) >= minhash.CHUNK - 1).any()
+        assert minhash.SYMBOLS - same.sum() <= minhash.FAR
+
+
+def test_components_of_chains_and_hubs(spark, monkeypatch):
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 600)
+    links = [*zip(ids[:200], ids[1:200], strict=False), *((ids[300], x) for x in ids[301:500]), (ids[550], ids[551]), (ids[551], ids[550]), (ids[560], ids[560])]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = united(ids, links)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = components.components(df, Workspace(spark, "tc"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, v) for k, v in want.items() if k in linked)
+    monkeypatch.setattr(components, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="not complete"):
+        components.components(df, Workspace(spark, "tc2"))
+
+
 def test_pigeonhole_finds_every_near_signature():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -102,6 +172,34 @@ def test_vectors(spark, monkeypatch, tile):
     assert vector_dedup.near_vectors(df.limit(0), Workspace(spark, "t2b")).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (None, [1.0, 0.1]), (None, [-1.0, 0.0]), (None, [-2.0, 0.0]), (7, [0.0, 2.0]), (7, None), (3, [1.0, 0.0]), (None, None)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, m int, leaf int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(df, Workspace(spark, "t2e")).collect()), key=str)
+    want = [(5, 2, 3, False), (5, 1, 5, True), (None, 2, 3, False), (None, 1, None, True), (None, 1, None, True), (7, 1, 5, False), (7, 0, 7, True), (3, 2, 3, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_far_tiles_do_not_meet(spark, monkeypatch):
+    """Clusters part into leaves that meet no other, and results are those of one tile; a third of the rows are one vector."""
+    monkeypatch.setattr(vector_dedup, "TILE", 30)
+    rng = np.random.default_rng(8)
+    centres = np.eye(24)[:6]
+    x = np.vstack([centres.repeat(60, axis=0) + 0.12 * rng.normal(size=(360, 24)), np.tile(centres[0], (180, 1))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(vector_dedup, "layout", lambda *a, old=vector_dedup.layout: seen.extend(old(*a)) or seen)
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(df, Workspace(spark, "t2f")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = united(range(len(x)), list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)))
+    assert {k: got[k].component_id for k in got} == want
+    assert [got[k].n_links for k in range(len(x))] == near.sum(axis=1).tolist()
+    tiles = sum(n for _, _, n, _ in seen)
+    assert tiles > 6 and sum(n * m for _, _, n, others in seen for _, m in others) < 0.7 * tiles**2
+
+
 def test_merge_keeps_earlier_links():
     m2, m1, old, x1, x2, y1, y2 = range(7)
     label = vector_dedup._merge(np.arange(7), np.array([old, old]), np.array([x1, x2]))
@@ -163,6 +261,29 @@ def test_contamination(spark, monkeypatch):
                 want.add((d, k))
     get = lambda: {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()}
     assert get() == want and want
-    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", 30)  # several slices
+    monkeypatch.setattr(decontam, "SLICE_WORDS", 30)  # several slices
     assert get() == want
+    dirty = {d for d, _ in want}
+    rest = lambda f: sorted(((r.doc_id, r.text) for r in decontam.clean(f, bench).collect()), key=str)
+    assert rest(frame) == sorted([(k, t) for k, t in enumerate(docs) if k not in dirty], key=str)
+    # rows are judged by their texts, whatever their ids
+    odd = spark.createDataFrame([(1, docs[2]), (1, "clean"), (None, docs[2]), (None, "clean"), (1, "clean"), (2, None)], "doc_id long, text string")
+    assert rest(odd) == sorted([(1, "clean"), (1, "clean"), (None, "clean"), (2, None)], key=str)
+    assert sorted(map(str, decontam.contaminated(odd, bench).select("doc_id", "item_id").collect())) == ["Row(doc_id=1, item_id=0)", "Row(doc_id=None, item_id=0)"]
+    assert decontam.clean(frame, bench.limit(0)).count() == len(docs)
     assert decontam.contaminated(frame, bench.limit(0)).count() == decontam.contaminated(frame.limit(0), bench).count() == 0
+
+
+def test_long_items_and_common_phrases(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = " ".join(word() for _ in range(12))
+    items = [f"{common} {' '.join(word() for _ in range(20))}" for _ in range(40)] + [" ".join(word() for _ in range(20_000))]
+    docs = [f"{word()} {items[k]} {word()}" for k in (0, 7, 40)] + [common, items[40][: len(items[40]) // 2]]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()} == {(0, 0), (1, 7), (2, 40)}
+    index = decontam.Index([(k, t.encode()) for k, t in enumerate(items)])
+    # what the items share is in the sketch of none of them
+    shared = set(shingle_set(common.encode()).tolist())
+    assert not shared & set(np.concatenate([keys for _, keys, _, _ in index.widths]).tolist())
