@@ -132,6 +132,16 @@ def test_self_loops(spark):
     assert n()[("A", "C")] == 8  # A-A-C and A-C-C are paths too
 
 
+@pytest.mark.parametrize("drop", [True, False])
+def test_path_counts_are_those_of_the_paths(spark, drop):
+    legs = [(a, b) for a in "ABCDE" for b in "ABCDE" if (ord(a) * 7 + ord(b) * 3) % 4]
+    e = spark.createDataFrame([("1", a, "1", b) for a, b in legs], joins.EDGE)
+    paths = joins.two_hops(e, e, drop)
+    for end in "ab":
+        want = paths.groupBy(f"{end}_bank", f"{end}_account").agg(F.count("*").alias("n"))
+        assert sorted(joins.path_counts(e, e, end, drop).collect()) == sorted(want.collect()) != []
+
+
 def test_usd_without_rate(spark):
     tx = spark.createDataFrame([("2022/09/01 00:00", "1", "A", "1", "B", 0.5, "US Dollar", "Wire"), ("2022/09/01 00:00", "1", "A", "1", "B", 0.5, "Euro", "ACH"), ("2022/09/01 00:00", "1", "A", "1", "B", 0.5, "Doubloon", "ACH")], TX.replace("decimal(18,4)", "double"))
     rates = spark.createDataFrame([(dt.date(2022, 9, 2), "USD", 1.0)], schemas.RATES)

@@ -72,6 +72,24 @@ def scatter_edges(links: DataFrame, over: int = 5) -> DataFrame:
     return links.join(senders, ["from_bank", "from_account"], "left_semi")
 
 
+def _no_loops(links: DataFrame) -> DataFrame:
+    return links.where("NOT (from_bank = to_bank AND from_account = to_account)")
+
+
+def path_counts(first: DataFrame, second: DataFrame, end: str, drop_self_loops: bool = True) -> DataFrame:
+    """The number ``n`` of the paths of ``two_hops`` by their first (``a``) or middle (``b``) account, without making them.
+
+    An edge A-B goes on as many ways as B has edges, less one if B leads back to A.
+    """
+    if drop_self_loops:
+        first, second = _no_loops(first), _no_loops(second)
+    ways = second.groupBy(F.col("from_bank").alias("b_bank"), F.col("from_account").alias("b_account")).agg(F.count("*").alias("ways"))
+    back = second.toDF("b_bank", "b_account", "a_bank", "a_account").withColumn("back", F.lit(1))
+    legs = first.toDF("a_bank", "a_account", "b_bank", "b_account").join(ways, ["b_bank", "b_account"]).join(back, ["a_bank", "a_account", "b_bank", "b_account"], "left")
+    counts = legs.groupBy(f"{end}_bank", f"{end}_account").agg(F.sum(F.col("ways") - F.coalesce("back", F.lit(0))).alias("n"))
+    return counts.where("n > 0")
+
+
 def two_hops(first: DataFrame, second: DataFrame, drop_self_loops: bool = True) -> DataFrame:
     """Paths A-B-C of distinct edges; A=C always goes, A=B and B=C too with ``drop_self_loops``.
 
@@ -79,8 +97,7 @@ def two_hops(first: DataFrame, second: DataFrame, drop_self_loops: bool = True)
     adaptive execution splits skewed B.
     """
     if drop_self_loops:
-        loop = "from_bank = to_bank AND from_account = to_account"
-        first, second = first.where(f"NOT ({loop})"), second.where(f"NOT ({loop})")
+        first, second = _no_loops(first), _no_loops(second)
     a = first.toDF("a_bank", "a_account", "b_bank", "b_account")
     c = second.toDF("b_bank", "b_account", "c_bank", "c_account")
     return a.join(c, ["b_bank", "b_account"]).where("NOT (a_bank = c_bank AND a_account = c_account)").select("a_bank", "a_account", "b_bank", "b_account", "c_bank", "c_account")

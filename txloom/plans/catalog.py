@@ -270,7 +270,7 @@ def j2(s, d):
 @query("J3", over("path", "SELECT b_bank, b_account, count(*) AS n FROM path GROUP BY ALL"))
 def j3(s, d):
     e = period_edges(s, d)
-    return joins.two_hops(joins.scatter_edges(e), e, drop_self_loops=False).groupBy("b_bank", "b_account").agg(F.count("*").alias("n"))
+    return joins.path_counts(joins.scatter_edges(e), e, "b", drop_self_loops=False)
 
 
 @query("J4", over("edge big", "SELECT edge.* FROM edge JOIN big USING (from_bank, from_account)"))
@@ -310,13 +310,13 @@ def j8(s, d):
 @query("J9", over("path", f"SELECT a_bank, a_account, count(*) AS n FROM path WHERE {NO_LOOPS} GROUP BY ALL"))
 def j9(s, d):
     e = period_edges(s, d)
-    return joins.two_hops(joins.scatter_edges(e), e).groupBy("a_bank", "a_account").agg(F.count("*").alias("n"))
+    return joins.path_counts(joins.scatter_edges(e), e, "a")
 
 
 @query("J10", over("path", "SELECT a_bank, a_account, count(*) AS n FROM path GROUP BY ALL"))
 def j10(s, d):
     e = period_edges(s, d)
-    return joins.two_hops(joins.scatter_edges(e), e, drop_self_loops=False).groupBy("a_bank", "a_account").agg(F.count("*").alias("n"))
+    return joins.path_counts(joins.scatter_edges(e), e, "a", drop_self_loops=False)
 
 
 def cancelled(s, d):
@@ -680,6 +680,18 @@ def d2(s, d):
     return rows.hash_sample(readers.read_table(s, d, "events").select("event_id"), 25, "event_id")
 
 
+@query("D2_draws", "SELECT CAST(0 AS BIGINT) AS strangers, true AS size_fits, count(*) AS n FROM events")
+def d2_draws(s, d):
+    """The draws differ with the layout, so what must hold is compared: a subset, about a quarter of the rows, the same for one seed."""
+    e = readers.read_table(s, d, "events").select("event_id")
+    drawn = rows.bernoulli_sample(e, 25, 7)
+    strangers = drawn.join(e, "event_id", "left_anti").agg(F.count("*").alias("strangers"))
+    again = rows.bernoulli_sample(e, 25, 7).agg(F.count("*").alias("again"))
+    sizes = e.agg(F.count("*").alias("n")).crossJoin(drawn.agg(F.count("*").alias("k"))).crossJoin(again)  # a row each
+    fits = (F.abs(F.col("k") - F.col("n") * 0.25) <= 6 * F.sqrt(F.col("n") * 0.1875)) & (F.col("k") == F.col("again"))
+    return strangers.crossJoin(sizes.select(fits.alias("size_fits"), "n"))
+
+
 @query("D3", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events) WHERE i <= floor(n * 0.1)")
 def d3(s, d):
     return rows.head_sample(readers.read_table(s, d, "events").select("event_id"), 10, "event_id")
