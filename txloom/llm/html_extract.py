@@ -6,11 +6,15 @@ of the same host whose path has the longer beginning in common. The text lines
 template and go. Two things stand above the differencing: what the mark-up itself
 calls navigation, advert, form, comment and the like goes whether shared or not; and
 lines inside an ``article`` or ``main`` element stay though they are shared, since
-sites publish the same article under several addresses. A page whose lines are all
-shared is a copy and keeps them.
+sites publish the same article under several addresses and sentences recur. Lines outside of
+them are decided by the differencing alone; beside an ``article`` they need a pair, as
+nothing else tells template from text there. A page that would be left empty is a copy
+of its pair and keeps its lines.
 
 Defined results: null html is empty; null or odd URLs belong to the host ""; repeated
-rows give equal rows; other columns are ignored; an empty table gives an empty result.
+rows give equal rows, whatever their ids; a null ``page_id`` is passed on; pages equally
+near to both neighbours take the one before; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,37 +129,37 @@ def _hash(line: str) -> int:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [[_hash(t) for t, _ in blocks(h)] for h in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "lines"])
+        keep = [b.column(b.schema.get_field_index(c)) for c in ("key", "host", "path")]
+        found = [[_hash(t) for t, _ in blocks(h)] for h in b.column(b.schema.get_field_index("html")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [common(x, y or []) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["key", "shared"])
+        theirs = b.column(2).to_pylist()
+        found = [common(x, y or []) for x, y in zip(b.column(1).to_pylist(), theirs, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([y is not None for y in theirs], pa.bool_())], names=["key", "shared", "paired"])
 
 
-def main_text(lines: list[tuple[str, int]], shared: list[int]) -> str:
-    """What is left of a page's lines when the shared ones are known."""
-    best = max((k for _, k in lines), default=0)
-    gone = set(shared)
-    if best < 2:
-        rest = [t for n, (t, k) in enumerate(lines) if k == 1 and n not in gone]
-        if rest:
-            return " ".join(rest)
-    return " ".join(t for t, k in lines if k == best and k > 0)
+def main_text(lines: list[tuple[str, int]], shared: list[int], paired: bool) -> str:
+    """What is left of a page's lines when those shared with its pair are known."""
+    gone, marked = set(shared), any(k == 2 for _, k in lines)
+    rest = [t for n, (t, k) in enumerate(lines) if k == 2 or (k == 1 and n not in gone and (paired or not marked))]
+    return " ".join(rest or [t for t, k in lines if k > 0])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("t", pa.string()), ("k", pa.int8())]))
     for b in batches:
-        rows = [[{"t": t if k else "", "k": k} for t, k in blocks(h)] for h in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, kind)], names=["key", "page_id", "url", "lines"])
+        keep = [b.column(b.schema.get_field_index(c)) for c in ("key", "page_id", "url")]
+        rows = [[{"t": t if k else "", "k": k} for t, k in blocks(h)] for h in b.column(b.schema.get_field_index("html")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(rows, kind)], names=["key", "page_id", "url", "lines"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [main_text([(x["t"], x["k"]) for x in lines], shared or []) for lines, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lines", "shared", "paired")]
+        texts = [main_text([(x["t"], x["k"]) for x in lines], shared or [], bool(paired)) for lines, shared, paired in zip(*cols, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -172,7 +176,9 @@ def nearest(keys: DataFrame, ws: Workspace) -> DataFrame:
     both = both.select("host", "path", "key", F.coalesce("before", "before_part").alias("before"), F.coalesce("after", "after_part").alias("after"))
 
     def like(other: str):
-        alike = F.expr(f"aggregate(sequence(0, least(length(path), length({other}.path))), 0, (n, i) -> if(substring(path, 1, i) = substring({other}.path, 1, i), i, n))")
+        same = F.zip_with(F.split("path", ""), F.split(F.col(f"{other}.path"), ""), lambda x, y: x.eqNullSafe(y))
+        differs = F.array_position(same, False)  # the first place, from 1; 0 for equal paths
+        alike = F.when(differs > 0, differs - 1).otherwise(F.length("path"))
         return F.when(F.col(f"{other}.host") == F.col("host"), alike).otherwise(-1)
 
     both = both.withColumn("b", like("before")).withColumn("a", like("after"))
@@ -180,14 +186,21 @@ def nearest(keys: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def extract(pages: DataFrame, ws: Workspace) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
+    """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
+
+    A page is parsed once for its lines' hashes, which are compared, and once for its text.
+    """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    whole = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("page_id", "url", "html")))
+    rows = rows.withColumn("key", F.md5(whole))
     address = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)([^?#]*)"
-    keys = rows.select("key", F.coalesce(F.lower(F.regexp_extract("url", address, 1)), F.lit("")).alias("host"), F.coalesce(F.regexp_extract("url", address, 2), F.lit("")).alias("path")).distinct()
-    lines = ws.save(rows.select("key", "html").mapInArrow(_lines, "key long, lines array<long>").dropDuplicates(["key"]), "lines")
-    pairs = nearest(keys, ws)
+    host, path = F.coalesce(F.lower(F.regexp_extract("url", address, 1)), F.lit("")), F.coalesce(F.regexp_extract("url", address, 2), F.lit(""))
+    lined = rows.select("key", host.alias("host"), path.alias("path"), "html").mapInArrow(_lines, "key string, host string, path string, lines array<long>")
+    lines = ws.save(lined.dropDuplicates(["key"]), "lines")
+    pairs = nearest(lines, ws)
     theirs = lines.select(F.col("key").alias("other"), F.col("lines").alias("theirs"))
-    shared = lines.join(pairs, "key").join(theirs, "other", "left").select("key", "lines", "theirs").mapInArrow(_shared, "key long, shared array<int>").dropDuplicates(["key"])
-    parsed = rows.select("key", "page_id", "url", "html").mapInArrow(_parsed, "key long, page_id long, url string, lines array<struct<t: string, k: tinyint>>")
-    return parsed.join(shared, "key", "left").select("page_id", "url", "lines", "shared").mapInArrow(_finished, "page_id long, url string, text string, n_chars long")
+    found = lines.select("key", "lines").join(pairs, "key").join(theirs, "other", "left").select("key", "lines", "theirs").mapInArrow(_shared, "key string, shared array<int>, paired boolean")
+    shared = ws.save(found, "shared")
+    parsed = rows.select("key", "page_id", "url", "html").mapInArrow(_parsed, "key string, page_id long, url string, lines array<struct<t: string, k: tinyint>>")
+    # the same join at every size: a row for each page is not small
+    return parsed.join(shared.hint("merge"), "key", "left").select("page_id", "url", "lines", "shared", "paired").mapInArrow(_finished, "page_id long, url string, text string, n_chars long")
