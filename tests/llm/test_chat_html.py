@@ -2,14 +2,17 @@
 
 import collections
 import hashlib
+import zlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from txloom.llm import chat, decontam, html_extract, minhash
-from txloom.llm.encode import default_tokenizer
+from txloom.llm import chat, decontam, html_extract, minhash, quality, toxicity
+from txloom.llm.encode import default_tokenizer, encoder
+from txloom.llm.words import shingle_set
 from txloom.llm.workspace import Workspace
 
 piece = st.one_of(st.sampled_from([*chat.CONTROLS, "\\", "<", ">", "s>", "[", "INST]", "\n", " ", "ok"]), st.text(max_size=3))
@@ -25,6 +28,53 @@ def test_template_is_reversible(turns):
     assert [chat.unescape(window[a:b]) for _, _, a, b in parsed] == [t for _, t in turns]
 
 
+def check_windows(windows, budget=chat.BUDGET):
+    """The tokens of whole windows, by the tokenizer itself, are those of the sums and within the budget."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_tokenizer())
+    for r in windows.collect():
+        turns = chat.parse(r.text)
+        assert len(whole.encode(r.text, add_special_tokens=False).ids) == r.n_tokens
+        assert r.n_tokens <= budget or len(turns) - r.n_repeated == 1
+        if r.n_tokens > budget:
+            assert r.n_repeated <= 1
+
+
+escaped = st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "x" * 30]), st.lists(st.sampled_from(["</s>", "\\", "\\\\", "[INST]", "word ", "ÀÉ", "\n", "12 ", "don't", "<|endoftext|>"]), max_size=30).map("".join))
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), escaped), min_size=1, max_size=40), st.sampled_from([40, 90, 200]))
+@settings(max_examples=6, deadline=None)
+def test_windows_hold_the_budget(spark, rows, budget):
+    turns = spark.createDataFrame([(conv, n, role, text) for n, (conv, (role, text)) in enumerate(rows)], "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(turns, default_tokenizer(), Workspace(spark, "t7c"), budget, budget // 4).persist()
+    check_windows(windows, budget)
+    read = {}
+    for r in sorted(windows.collect(), key=lambda r: r.window):
+        new = chat.parse(r.text)[r.n_repeated :]
+        read.setdefault(r.conv_id, []).extend((role, text) for role, text, _, _ in new)
+        loss = [chat.unescape(r.text[a:b]) for a, b in zip(r.loss_begin, r.loss_end, strict=True)]
+        assert loss == [text for role, text, _, _ in new if role == "assistant"]
+    want = {}
+    for conv, turn in rows:
+        want.setdefault(conv, []).append(turn)
+    assert read == want
+    windows.unpersist()
+
+
+def test_one_conversation_in_many_partitions(spark):
+    rows = [(5, k, "system" if k == 0 else "user" if k % 2 else "assistant", f"turn {k} " + "w " * (k % 40)) for k in range(900)] + [(k, 0, "system", f"only {k}") for k in (1, 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(turns.repartition(7), default_tokenizer(), Workspace(spark, "t7d"))
+    check_windows(windows)
+    got = {r.conv_id: r for r in chat.digests(windows).collect()}
+    assert got[5].n_turns == 900 and got[1].n_turns == got[9].n_turns == 1 and got[5].n_windows > 10
+    assert got[5].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 5).encode()).hexdigest()
+    for r in windows.where("conv_id = 5").collect():
+        assert chat.parse(r.text)[0][:2] == ("system", "turn 0 ")
+
+
 def test_windows(spark):
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " + "word " * (k * 37 % 300)) for k in range(40)]
     rows += [(2, 0, "system", "be kind"), *((2, k, "assistant" if k % 2 == 0 else "user", "</s>" * (k * 20)) for k in range(1, 30))]
@@ -47,6 +97,8 @@ def test_windows(spark):
     for r in written:
         assert chat.parse(r.text)[0][1] == "be kind"
         assert r.n_tokens <= chat.BUDGET or len(chat.parse(r.text)) == 2
+    check_windows(windows)
+    assert any(r.n_repeated > 1 for r in windows.collect())
     assert chat.digests(chat.format_windows(turns.limit(0), default_tokenizer(), Workspace(spark, "t7b"))).count() == 0
 
 
@@ -62,6 +114,34 @@ def test_common_is_longest(a, b):
     assert len(found) == table[-1][-1] and found == sorted(found) and all(a[i] in rest for i in found)
 
 
+def test_nearest_by_brute_force(spark):
+    import os.path
+
+    rng = __import__("random").Random(4)
+    pages = sorted({(f"h{rng.randrange(6)}", "/" + "/".join(rng.choice("ab") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 4)))) for _ in range(90)})
+    keys = [(h, p, f"{n:03}") for n, (h, p) in enumerate(pages)] + [("h7", "/x" * 20_000, "long"), ("h7", "/x" * 19_999 + "/y", "longer")]
+    got = {r.key: r.other for r in html_extract.nearest(spark.createDataFrame(keys, "host string, path string, key string"), Workspace(spark, "t10c")).collect()}
+    keys.sort()
+    for n, (host, path, key) in enumerate(keys):
+        best, want = -1, None
+        for m in (n - 1, n + 1):
+            if 0 <= m < len(keys) and keys[m][0] == host and len(os.path.commonprefix([path, keys[m][1]])) > best:
+                best, want = len(os.path.commonprefix([path, keys[m][1]])), keys[m][2]
+        assert got[key] == want
+
+
+def test_differencing_decides_beside_an_article(spark):
+    page = "<div>Site name</div><div>Posted in {0}</div><article><p>story {0}</p><p>refrain</p></article><p>epilogue {0}</p><div>All rights</div>"
+    rows = [(k, f"http://one.example/{k}", page.format(k)) for k in range(4)] + [(9, "http://alone.example/", page.format(9))]
+    rows += [(20 + k, f"http://copy.example/{k}", page.format("copied")) for k in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), Workspace(spark, "t10d")).collect()}
+    assert [got[k] for k in range(4)] == [f"Posted in {k} story {k} refrain epilogue {k}" for k in range(4)]
+    assert got[9] == "story 9 refrain"  # nothing to compare with
+    assert got[20] == got[21] == "story copied refrain"
+    lines = html_extract.blocks(page.format(0))
+    assert html_extract.main_text(lines, [], True) != got[0]  # without the shared lines, the template stays
+
+
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style><script>var a='</p><article>no</article>'</script></head><body><nav>menu <a>x</a></nav><!-- <p>no</p> --><article><h1>A &amp; B</h1><p>one<b>two</b> three\n four<br>five<p>six&nbsp;&eacute;<div class='ad'>buy <div>now</div></div><section id=comments><p>silly</p></section></article><footer>f</footer>", "A & B onetwo three four five six é"),
     ("<main><p class=\"x-notice\">cookies<p>text<form><p>in</form>tail</main> outside", "text tail"),
@@ -118,3 +198,44 @@ def test_pipeline(spark, sf_dir, stages):
     again = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "piece", "length", "ids_crc32"]
     assert sorted(again.select(*key).collect()) == sorted(stages[5].select(*key).collect())
+
+
+def test_pipeline_edges(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+    more = spark.createDataFrame([(1, None, "en", "s", 0), (1, "", "en", "s", 0), (None, None, None, None, None), (None, "word " * 30_000, "en", "s", 1)], docs.schema)
+    odd = docs.unionByName(docs.where("doc_id < 5")).unionByName(more).withColumns({"label": F.lit("x"), "score": F.lit(1), "component_id": F.lit(2), "digest": F.lit("d"), "fp": F.lit("f")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        assert out.exceptAll(odd).isEmpty(), name
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
+    pieces = corpus_pipeline.pack(spark, odd, sf_dir)
+    assert pieces.where("piece = 0").count() == odd.count()
+    assert corpus_pipeline.pack(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_stages_by_brute_force(spark, sf_dir, stages):
+    """Each stage's rows, from scores, links and shingles that are worked out row by row here."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [d.select("doc_id", "text").collect() for d in stages[:-1]]
+    model = toxicity.fit(stages[0], labels)
+    table = toxicity.WordScores(model.scores)
+    assert {r.doc_id for r in rows[1]} == {r.doc_id for r in rows[0] if toxicity.score_of(model, (r.text or "").encode(), table) < toxicity.THRESHOLD}
+    model = quality.fit(stages[1], labels)
+    good = model.probabilities(quality.pooled(model.table, [(r.text or "").encode() for r in rows[1]]).astype("<f4").astype(float)) >= quality.THRESHOLD
+    assert {r.doc_id for r in rows[2]} == {r.doc_id for r, ok in zip(rows[1], good, strict=True) if ok}
+    sets = {r.doc_id: set(shingle_set((r.text or "").encode()).tolist()) for r in rows[2]}
+    groups = {k: {k} for k in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and groups[a] is not groups[b]:
+                groups[a] |= groups[b]
+                for k in groups[b]:
+                    groups[k] = groups[a]
+    assert {r.doc_id for r in rows[3]} == {min(g) for g in groups.values()}
+    items = [set(shingle_set((r.text or "").encode()).tolist()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert {r.doc_id for r in rows[4]} == {r.doc_id for r in rows[3] if not any(i and len(i & sets[r.doc_id]) >= decontam.needed(len(i)) for i in items)}
+    whole = {r.doc_id: encoder(default_tokenizer()).ids((r.text or "").encode()) + bytes(4) for r in rows[4]}
+    for r in stages[5].collect():
+        assert zlib.crc32(whole[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
