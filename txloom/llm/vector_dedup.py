@@ -23,6 +23,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ from .components import components
 from .workspace import Workspace
 
 THRESHOLD = 0.9
-#: Most rows of a tile, and most numbers in it.
-TILE, TILE_VALUES = 6144, 1 << 21
+#: Rows of a tile at most, and numbers in it, half as many again where a leaf is cut; a large tile saves copies of rows.
+TILE, TILE_VALUES = 32768, 1 << 21
+#: Few vectors are dealt to about so many tiles, so that several tasks share the work.
+TILES = 8
 BLOCK = 1024
 STEPS = (16, 32)
 SLACK = 1e-9
@@ -144,8 +147,9 @@ def block_links(q: np.ndarray, rest: dict[int, np.ndarray], x: np.ndarray, r: np
     return i[ok], j[ok]
 
 
-def tile_rows(d: int) -> int:
-    return max(min(256, TILE), min(TILE, TILE_VALUES // d))
+def tile_rows(d: int, n: int) -> int:
+    """About as many of ``n`` vectors of length ``d`` make a tile."""
+    return max(min(1024, TILE), min(TILE, TILE_VALUES // d, n // TILES))
 
 
 class Tree:
@@ -226,7 +230,10 @@ def near_leaves(low: np.ndarray, high: np.ndarray, threshold: float) -> list[np.
 def layout(placed: DataFrame, threshold: float) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
     """(d, leaf, tiles, [(near leaf, its tiles)]): at most LEAVES rows for each length of several tiles, one for any other."""
     sizes = {(r["d"], r["leaf"]): r["n"] for r in placed.groupBy("d", "leaf").agg(F.count("*").alias("n")).collect()}
-    tiles = {k: -(-n // tile_rows(k[0])) for k, n in sizes.items()}
+    total = Counter()
+    for (d, _), n in sizes.items():
+        total[d] += n
+    tiles = {(d, leaf): max(1, round(n / tile_rows(d, total[d]))) for (d, leaf), n in sizes.items()}
     several = sorted({d for d, _ in sizes if sum(x == d for x, _ in sizes) > 1})
     boxes: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
     if several:
@@ -281,10 +288,10 @@ def near_vectors(df: DataFrame, ws: Workspace, threshold: float = THRESHOLD) ->
     axes = principal_axes(classes.where(F.col("d").isin(turned)).select("d", "v")) if turned else {}
     trees = {}
     for d, n in counts.items():
-        if n > tile_rows(d):
+        if n > tile_rows(d, n):
             some = classes.where(F.col("d") == d).sample(min(1.0, SAMPLE / n), seed=2).limit(2 * SAMPLE).select("d", "v")
             lead = some.mapInArrow(_projected(axes), "d int, lead array<double>").select("lead").toPandas().lead  # at most 2 * SAMPLE rows
-            trees[d] = Tree(np.array(lead.tolist()).reshape(len(lead), -1), min(LEAVES, -(-n // tile_rows(d))))
+            trees[d] = Tree(np.array(lead.tolist()).reshape(len(lead), -1), min(LEAVES, -(-n // tile_rows(d, n))))
     vectors = dict(classes.dtypes)["v"]
     placed = ws.save(classes.select("cls", "m", "d", "v").mapInArrow(_placed(axes, trees), f"cls long, m long, d int, v {vectors}, leaf int, lead array<double>"), "placed")
     plan = spark.createDataFrame(layout(placed, threshold), "d int, leaf int, tiles int, near array<struct<leaf: int, tiles: int>>")
