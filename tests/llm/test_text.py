@@ -195,3 +195,39 @@ def test_plan_uses_all(lengths):
             used[k] += n * times
     assert used == collections.Counter(lengths)
     assert len(packing.intervals(steps)) == sum(sum(c.values()) for c, _ in steps)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(None, "a b"), (5, "x"), (None, None), (5, "x y z"), (5, "x"), (-3, "w " * 3000)]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, place string")
+    ws = Workspace(spark, "t1f")
+    token_store.write(docs, default_tokenizer(), ws)
+    got = sorted(token_store.verify(spark, ws).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -3, 5, 5, 5] and all(r.intact for r in got)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == collections.Counter((k, crc([*plain_ids(t), token_store.END])) for k, t in rows)
+    pieces = packing.place(packing.encode_pieces(docs, default_tokenizer(), Workspace(spark, "t5c"))).collect()
+    assert collections.Counter(r.doc_id for r in pieces if r.piece == 0) == collections.Counter(k for k, _ in rows)
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+
+
+def test_manifest_tree_has_levels(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 2)
+    ws = Workspace(spark, "t1g")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(37)], "doc_id long, text string")
+    token_store.write(docs, default_tokenizer(), ws)
+    recipes = spark.read.parquet(ws.of("recipes")).collect()
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for m in spark.read.parquet(ws.of("manifest")).collect():
+        own = sorted((r for r in recipes if r["_part"] == m["_part"]), key=lambda r: r.place)
+        nodes = [sha(f"{r.doc_id}:{r.start}:{r.n_tokens}:{r.root.hex().upper()}") for r in own]
+        width = max(r.place for r in recipes) + 1
+        while width > 1 or len(nodes) > 1:
+            nodes, width = [sha(",".join(nodes[k : k + 2])) for k in range(0, len(nodes), 2)], -(-width // 2)
+        assert (m.n_docs, m.root) == (len(own), nodes[0])
+    assert all(r.intact for r in token_store.verify(spark, ws).collect())

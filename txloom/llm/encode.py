@@ -19,7 +19,8 @@ from .words import kept
 #: The tokenizer's own pre-tokenization pattern (a fixed value of the file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters below U+0130 that are no white space: case and normal form are plain there.
-PLAIN = re.compile("[\x21-\x7e\xa1-į]+")
+LAST = "\u012f"
+PLAIN = re.compile(f"[\x21-\x7e\xa1-{LAST}]+")
 
 #: Marks that the pattern always parts from a word before them.
 MARKS = b".,;:!?"
@@ -32,10 +33,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _word_like(core: bytes) -> bool:
+    """Whether the last character is a letter or digit, so that marks behind it are parted from it."""
+    if core[-1:].isalnum():
+        return True
+    last = core[-2:].decode("utf-8", "ignore")[-1:]
+    return "\x80" <= last <= LAST and last.isalpha()
+
+
 class Encoder(dict):
     """piece -> id bytes, in two bounded tables: pieces of late and those from before."""
 
-    LIMIT = 200_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -50,7 +59,7 @@ class Encoder(dict):
         out = self.before.get(piece)
         if out is None:
             core = piece.rstrip(MARKS)
-            if len(core) < len(piece) and core[-1:].isalnum():  # a word and the marks behind it
+            if len(core) < len(piece) and _word_like(core):  # a word and the marks behind it
                 out = self[core] + self[piece[len(core) :]]
                 if len(piece) > 8:
                     return out
@@ -67,10 +76,15 @@ class Encoder(dict):
         if piece.isalpha():
             return self._merged(piece.lower().decode())
         text = piece.decode("utf-8", "replace")
+        if text.isalpha() and max(text) <= LAST:  # one word
+            return self._merged(self._spelt(text.lower()))
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join([self._merged(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)) for p in PIECES.findall(text.lower())])
+            return b"".join([self._merged(p if p.isascii() else self._spelt(p)) for p in PIECES.findall(text.lower())])
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _spelt(self, part: str) -> str:
+        return part.encode().decode("latin-1").translate(self.letters)
+
     def _merged(self, part: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 

@@ -7,16 +7,17 @@ hash of the last 16 ids says so, and writes
 * ``recipes``: in ascending ``doc_id`` order a row for each document: the place of
   its first id in the whole stream, its number of ids, the digests and lengths of
   its chunks and the Merkle root over the digests;
-* ``manifest``: a root for each recipe partition, over the key, place, number of ids
-  and Merkle root of its recipes.
+* ``manifest``: for each recipe partition the root of a Merkle tree whose leaves are
+  the key, start, number of ids and Merkle root of its recipes, in order. A node has
+  ``FAN`` children at most, so no task ever gathers a partition's recipes.
 
 Equal passages give equal chunks, so copies cost a recipe only. ``verify`` reads
 the files back, recomputes every digest and root, holds them against the recipes and
 the manifest and gives each document's CRC; ``read`` rebuilds the id streams.
 
 Defined results: a null or empty text has only the end id; repeated ``doc_id``s
-are documents of their own, ordered by their Merkle root; rows with a null
-``doc_id`` come first; other columns are ignored; an empty table makes an empty store.
+are documents of their own, ordered by their Merkle root, and equal rows have a recipe
+each; rows with a null ``doc_id`` come first; other columns are ignored; an empty table makes an empty store.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder, texts_of
@@ -35,6 +37,8 @@ from .ordering import range_parted, running_start
 from .workspace import Workspace
 
 END = 2
+#: Children of a node of the manifest's trees.
+FAN = 256
 LEAST, MEAN_BITS, MOST = 256, 10, 4096
 CUT_SCHEMA = "doc_id long, n_tokens long, root binary, chunks array<struct<digest: binary, n: int, ids: binary>>"
 
@@ -93,23 +97,24 @@ def _cut(path: str, end: int):
             streams = [to_ids(t) + tail for t in some]
             flat = np.frombuffer(b"".join(streams), "<u4")
             marks = np.flatnonzero((rolling(flat.astype(np.int64)) & MASK) == 0) + 1
-            n, root, chunks, at = [], [], [], 0
+            n, root, at = [], [], 0
+            digests, sizes, stored, first = [], [], [], [0]  # of all chunks; the first chunk of each document
             for s in streams:
                 size = len(s) // 4
                 lo, hi = np.searchsorted(marks, (at, at + size + 1))
-                start, own = 0, []
+                start = 0
                 for stop in cut_places(marks[lo:hi] - at, size):
-                    stored = _packed(flat[at + start : at + stop])
-                    own.append({"digest": digest_of(stored), "n": stop - start, "ids": stored})
+                    stored.append(_packed(flat[at + start : at + stop]))
+                    digests.append(digest_of(stored[-1]))
+                    sizes.append(stop - start)
                     start = stop
                 n.append(size)
-                root.append(merkle_root([c["digest"] for c in own]))
-                chunks.append(own)
+                root.append(merkle_root(digests[first[-1] :]))
+                first.append(len(digests))
                 at += size
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(root, pa.binary()), pa.array(chunks, pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])))],
-                names=["doc_id", "n_tokens", "root", "chunks"],
-            )
+            chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(stored, pa.binary())], names=["digest", "n", "ids"])
+            chunks = pa.ListArray.from_arrays(pa.array(first, pa.int32()), chunks)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(root, pa.binary()), chunks], names=["doc_id", "n_tokens", "root", "chunks"])
 
     return run
 
@@ -123,17 +128,26 @@ def write(docs: DataFrame, tokenizer: str, ws: Workspace, end: int = END) -> Non
     ws.save(objects, "objects")
     recipes = cut.select("doc_id", "root", "n_tokens", F.transform("chunks", lambda c: c["digest"]).alias("digests"), F.transform("chunks", lambda c: c["n"]).alias("lengths"))
     parted = range_parted(recipes, ws, "parted", "doc_id", "root")
-    ws.save(running_start(parted, "n_tokens", "doc_id", "root").sortWithinPartitions("doc_id", "root"), "recipes")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("doc_id", "root")) - 1
+    started = running_start(parted.withColumn("place", place.cast("long")), "n_tokens", "doc_id", "root")
+    ws.save(started.sortWithinPartitions("doc_id", "root", "place"), "recipes")
     ws.drop("cut")
     ws.drop("parted")
     ws.save(partition_roots(ws.spark.read.parquet(ws.of("recipes"))), "manifest")
 
 
 def partition_roots(recipes: DataFrame) -> DataFrame:
-    """(_part, n_docs, n_tokens, root): a row for each recipe partition."""
-    own = F.array_sort(F.collect_list(F.struct("doc_id", "start", "n_tokens", "root")))
-    leaves = F.transform(own, lambda r: F.concat_ws(":", F.coalesce(r["doc_id"].cast("string"), F.lit("null")), r["start"], r["n_tokens"], F.hex(r["root"])))
-    return recipes.groupBy("_part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws(",", leaves), 256).alias("root"))
+    """(_part, n_docs, n_tokens, root): a row for each recipe partition, from its tree, level by level."""
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root")), 256)
+    nodes = recipes.select("_part", "place", leaf.alias("root"), F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+    width = 1 + (recipes.agg(F.max("place")).first()[0] or 0)
+    while True:
+        children = F.array_sort(F.collect_list(F.struct("place", "root")))  # FAN of them at most
+        joined = F.array_join(F.transform(children, lambda c: c["root"]), ",")
+        nodes = nodes.groupBy("_part", F.floor(F.col("place") / FAN).alias("up")).agg(F.sha2(joined, 256).alias("root"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        nodes, width = nodes.withColumnRenamed("up", "place"), -(-width // FAN)
+        if width <= 1:
+            return nodes.select("_part", "n_docs", "n_tokens", "root")
 
 
 # CRC of a whole from the CRCs of its parts: shifting by zero bytes is linear, so
@@ -183,11 +197,12 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to recipes whether the root and number of ids are those of the chunks."""
+    """Adds to recipes whether the root and number of ids are those of the chunks, and the ids behind each chunk."""
     for b in batches:
         n, root, digests, lengths = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("n_tokens", "root", "digests", "lengths"))
         whole = [len(d or ()) == len(m or ()) > 0 and None not in d and None not in m and merkle_root(d) == r and sum(m) == k for k, r, d, m in zip(n, root, digests, lengths, strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(whole, pa.bool_())], names=[*b.schema.names, "whole"])
+        behind = [[*accumulate(reversed([x or 0 for x in m[1:]]), initial=0)][::-1] if m else [] for m in lengths]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(whole, pa.bool_()), pa.array(behind, pa.list_(pa.int64()))], names=[*b.schema.names, "whole", "behind"])
 
 
 def _shift_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +224,9 @@ def verify(spark: SparkSession, ws: Workspace) -> DataFrame:
     """
     objects = spark.read.parquet(ws.of("objects")).select("digest", "n", "ids").mapInArrow(_checked, "digest binary, n int, crc long, good boolean")
     kept = spark.read.parquet(ws.of("recipes"))
-    kept = kept.select("_part", "doc_id", "start", "n_tokens", "root", "digests", "lengths")
-    recipes = kept.mapInArrow(_rooted, "_part int, doc_id long, start long, n_tokens long, root binary, digests array<binary>, lengths array<int>, whole boolean")
-    before = F.expr("aggregate(lengths, struct(0L as s, array(0L) as a), (acc, x) -> struct(acc.s + x as s, array_append(acc.a, acc.s + x) as a)).a")
-    parts = recipes.withColumn("ends", before).select("_part", "doc_id", "start", "n_tokens", "whole", F.posexplode_outer(F.arrays_zip("digests", "lengths")).alias("k", "c"), "ends")
-    behind = F.coalesce(F.element_at("ends", -1) - F.expr("ends[k + 1]"), F.lit(0).cast("long"))
-    parts = parts.select("_part", "doc_id", "start", "n_tokens", "whole", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), behind.alias("behind"))
+    recipes = kept.select("_part", "doc_id", "start", "n_tokens", "root", "digests", "lengths").mapInArrow(_rooted, "_part int, doc_id long, start long, n_tokens long, root binary, digests array<binary>, lengths array<int>, whole boolean, behind array<long>")
+    parts = recipes.select("_part", "doc_id", "start", "n_tokens", "whole", F.explode_outer(F.arrays_zip("digests", "lengths", "behind")).alias("c"))
+    parts = parts.select("_part", "doc_id", "start", "n_tokens", "whole", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), F.coalesce("c.behind", F.lit(0).cast("long")).alias("behind"))
     good = F.col("whole") & F.coalesce("good", F.lit(False)) & F.coalesce(F.col("n") == F.col("length"), F.lit(False))
     found = parts.join(objects, "digest", "left").select("_part", "doc_id", "start", "n_tokens", "behind", F.coalesce("crc", F.lit(0)).alias("crc"), good.alias("good"))
     shifted = found.mapInArrow(_shift_map, "_part int, doc_id long, start long, n_tokens long, good boolean, part long")
