@@ -192,15 +192,17 @@ def extract(pages: DataFrame, ws: Workspace) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     whole = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("page_id", "url", "html")))
-    rows = rows.withColumn("key", F.md5(whole))
+    rows = rows.withColumn("key", F.unhex(F.md5(whole)))
     address = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)([^?#]*)"
     host, path = F.coalesce(F.lower(F.regexp_extract("url", address, 1)), F.lit("")), F.coalesce(F.regexp_extract("url", address, 2), F.lit(""))
-    lined = rows.select("key", host.alias("host"), path.alias("path"), "html").mapInArrow(_lines, "key string, host string, path string, lines array<long>")
+    lined = rows.select("key", host.alias("host"), path.alias("path"), "html").mapInArrow(_lines, "key binary, host string, path string, lines array<long>")
     lines = ws.save(lined.dropDuplicates(["key"]), "lines")
     pairs = nearest(lines, ws)
     theirs = lines.select(F.col("key").alias("other"), F.col("lines").alias("theirs"))
-    found = lines.select("key", "lines").join(pairs, "key").join(theirs, "other", "left").select("key", "lines", "theirs").mapInArrow(_shared, "key string, shared array<int>, paired boolean")
+    found = lines.select("key", "lines").join(pairs, "key").join(theirs, "other", "left").select("key", "lines", "theirs").mapInArrow(_shared, "key binary, shared array<int>, paired boolean")
     shared = ws.save(found, "shared")
-    parsed = rows.select("key", "page_id", "url", "html").mapInArrow(_parsed, "key string, page_id long, url string, lines array<struct<t: string, k: tinyint>>")
+    ws.drop("lines")
+    ws.drop("ordered")
+    parsed = rows.select("key", "page_id", "url", "html").mapInArrow(_parsed, "key binary, page_id long, url string, lines array<struct<t: string, k: tinyint>>")
     # the same join at every size: a row for each page is not small
     return parsed.join(shared.hint("merge"), "key", "left").select("page_id", "url", "lines", "shared", "paired").mapInArrow(_finished, "page_id long, url string, text string, n_chars long")
