@@ -37,6 +37,65 @@ def test_predicate_edges(spark):
         predicates.predicate(df, "entre", "f", "1,2,3")
 
 
+TEXTS = ["", "2", "2022/08/31 23:59", "2022/09", "2022/09/01", "2022/09/01 00:00", "2022/09/05 23:59", "2022/09/06", "2022/10", "~", None]
+
+
+@pytest.mark.parametrize("limits", ["2022/09/01,2022/09/05", "2022/09/01 00:00,2022/09", "2022/09,2022/09/05", ",2022/09/05", "2022/09/01,", ",", "b,a", f"a,{chr(0x10FFFF)}"])
+def test_ranges_are_those_of_cut_texts(spark, limits):
+    low, high = limits.split(",")
+    n = min(len(low), len(high))
+    df = spark.createDataFrame([(t,) for t in TEXTS], "f string")
+    want = sorted(t for t in TEXTS if t is not None and low <= t[:n] <= high)
+    assert sorted(r.f for r in predicates.keep(df, ("entre", "f", limits)).collect()) == want
+
+
+@pytest.mark.parametrize(("kind", "values"), [("decimal(6,2)", ["49.99", "50.00", "50.01", "9999.99", None]), ("int", [49, 50, 51, -5, None]), ("double", [49.5, 50.0, float("nan"), None]), ("string", ["49", "x", " 7", None])])
+@pytest.mark.parametrize("bound", ["50", "50.001", "-1e9", "1e12", "inf", "nan"])
+def test_less_than_a_number(spark, kind, values, bound):
+    import decimal
+
+    made = [(decimal.Decimal(v) if v is not None and kind.startswith("dec") else v,) for v in values]
+    df = spark.createDataFrame(made, f"f {kind}")
+
+    def under(v):
+        try:
+            return float(v) < float(bound)
+        except (TypeError, ValueError):
+            return False
+
+    assert predicates.keep(df, ("menor", "f", bound)).count() == sum(under(v) for v in values)
+    assert [r[0] for r in df.select(predicates.predicate(df, "menor", "f", bound)).collect()] == [under(v) for v in values]
+
+
+def test_members_and_equals_of_numbers(spark):
+    df = spark.createDataFrame([(7,), (70,), (None,)], "f bigint")
+    count = lambda *rule: predicates.keep(df, rule).count()
+    assert [count("igual", "f", x) for x in ("7", "07", "7.0", "x")] == [1, 0, 0, 0]
+    assert [count("en", "f", x) for x in ("7, 70", "07", "x, 70")] == [2, 0, 1]
+
+
+def test_predicates_reach_the_scan(spark):
+    path = scratch.folder(spark, "pushed")
+    spark.createDataFrame([("2022/09/01 00:00", "1", "A", "1", "B", 5, "US Dollar", "Wire")], TX.replace("decimal(18,4)", "int")).write.parquet(path)
+    t = spark.read.parquet(path)
+    t = t.withColumn("amount_paid", F.col("amount_paid").cast("decimal(18,4)"))
+    t.write.parquet(path + "-tx")
+    t = spark.read.parquet(path + "-tx")
+
+    def pushed(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("PushedFilters: ") :].split("]")[0] + plan.split("ReadSchema")[-1]
+
+    rules = {("igual", "payment_format", "Wire"): "EqualTo(payment_format,Wire)", ("menor", "amount_paid", "50"): "LessThan(amount_paid,50.0000)", ("en", "payment_format", "Wire, ACH"): "In(payment_format, [ACH,Wire"}
+    for rule, want in rules.items():
+        assert want in pushed(predicates.keep(t, rule)).replace("[Wire,ACH", "[ACH,Wire"), pushed(predicates.keep(t, rule))
+    days = pushed(predicates.keep(t, ("entre", "ts_text", "2022/09/01,2022/09/05")))
+    assert "GreaterThanOrEqual(ts_text,2022/09/01)" in days and "LessThan(ts_text,2022/09/06)" in days
+    for found in (flagship.small_transfers(t), flagship.scatter_gather(t, "2022/09/01,2022/09/05"), flagship.largest_by_bank(t, spark.createDataFrame([("b", "1")], "bank_name string, bank_id string"))):
+        assert "EqualTo(payment_currency,US Dollar)" in pushed(found)
+    assert "is_laundering" not in pushed(flagship.small_transfers(t)) and "ts_text" not in pushed(flagship.small_transfers(t))
+
+
 def test_projection(spark):
     df = spark.createDataFrame([("c1", "42", "no-number"), ("c1", "007", None)], "client_id string, a string, b string")
     out = rows.project(df, ["b", "a", "absent"], int_fields=("a", "b"))
@@ -159,6 +218,30 @@ def test_differences(spark):
         joins.differences(a, b.drop("n"))
 
 
+def test_ranks_of_wide_tables(spark):
+    """Every rank right: columns beside the key, ties, nulls, a hot key, several partitions, names of the operator's own."""
+    wide = [(k % 7 if k % 3 else 0, None if k % 50 == 0 else (k * 7919) % 997, f"text {k}", k, {"k": k}) for k in range(5000)]
+    df = spark.createDataFrame(wide, "hot int, v int, part string, row int, place map<string,int>").repartition(8)
+    got = rows.with_rank(df, "hot", "v").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5001))
+    assert [(r.hot, r.v) for r in got] == sorted(((h, v) for h, v, *_ in wide), key=lambda x: (x[0], -1 if x[1] is None else x[1]))
+    assert {r.row for r in got} == set(range(5000)) and all(r.part == f"text {r.row}" and r.place["k"] == r.row for r in got)
+    sample = rows.systematic_sample(df, 12.5, "v", "row")
+    assert sample.columns == df.columns
+    order = sorted(range(5000), key=lambda k: (-1 if wide[k][1] is None else wide[k][1], k))
+    assert sorted(r.row for r in sample.collect()) == sorted(k for i, k in enumerate(order, 1) if int(i * 0.125) > int((i - 1) * 0.125))
+    assert {r.row for r in rows.head_sample(df, 10, "v", "row").collect()} == set(order[:500])
+    assert rows.with_rank(df.limit(0), "v").count() == 0
+    with pytest.raises(ValueError, match="choose another name"):
+        rows.with_rank(df, "v", name="row")
+
+
+def test_no_task_ranks_a_hot_key_alone(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("k"), "id")
+    sizes = [r.n for r in rows.ranked(df, "k").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 20_000
+
+
 def test_samples(spark):
     df = spark.range(1000).toDF("n")
     assert rows.systematic_sample(df, 30, "n").count() == 300
@@ -183,6 +266,24 @@ def test_csv(spark):
     assert [r.value for r in spark.read.text(out).collect()] == ["client_id,n"]
 
 
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([("c", "a:s1:x", "007", 1), ("c", None, "7", 2)], "client_id string, request_id string, bank_key string, n int").withColumn("session", F.lit("mine"))
+    left = joins.without_cancelled(df, spark.createDataFrame([("c", "s1")], "client_id string, session string"))
+    assert [(r.session, r.n) for r in left.collect()] == [("mine", 2)]
+    named = joins.with_bank_name(df, spark.createDataFrame([("7", "Seven")], "bank_id string, bank_name string"), "bank_key")
+    assert sorted((r.bank_key, r.bank_name) for r in named.collect()) == [("007", "Seven"), ("7", "Seven")]
+    assert {(r.n, r.n_source) for r in joins.found_in(df, df, "bank_key").collect()} == {(1, 1), (2, 1)}
+    for call in (lambda: joins.with_bank_name(named, named, "bank_key"), lambda: rows.split_cases(df, "session", [("a", "b", "c")], name="n")):
+        with pytest.raises(ValueError, match="already has"):
+            call()
+
+
+def test_header_lines_split_on_every_comma(spark):
+    path = scratch.folder(spark, "quoted")
+    spark.createDataFrame([('a,a',), ('"x,y"',)], "value string").coalesce(1).write.text(path)
+    assert [tuple(r) for r in readers.read_with_header(spark, path).collect()] == [('"x', 'y"')]
+
+
 def test_folders_need_a_shared_one_on_a_cluster():
     class Cluster:
         conf = {}

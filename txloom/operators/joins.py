@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txloom import schemas
 from txloom.functions import scalars
 from txloom.operators import aggregates
 
@@ -22,7 +23,9 @@ def bank_names(accounts: DataFrame) -> DataFrame:
 
 def with_bank_name(rows: DataFrame, accounts: DataFrame, bank: str = "from_bank") -> DataFrame:
     """Inner join on the normalised bank id; rows of unknown banks go."""
-    return rows.withColumn("bank_key", scalars.digits_id(F.col(bank))).join(bank_names(accounts), "bank_key").drop("bank_key")
+    schemas.free(rows, "bank_name")
+    names = bank_names(accounts)
+    return rows.join(names, scalars.digits_id(rows[bank]) == names["bank_key"]).drop(names["bank_key"])
 
 
 def below_baseline(late: DataFrame, early: DataFrame, key: str = "payment_format", amount: str = "amount_paid", ratio: float = 0.01, in_cents: bool = False) -> DataFrame:
@@ -50,14 +53,15 @@ def mapped(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame
 
 def found_in(rows: DataFrame, source: DataFrame, *on: str) -> DataFrame:
     """Left join of results back to their source: ``n_source`` rows of it have the key."""
-    counts = source.groupBy(*on).agg(F.count("*").alias("n"))
-    return rows.join(counts, list(on), "left").withColumn("n_source", F.coalesce("n", F.lit(0))).drop("n")
+    schemas.free(rows, "n_source")
+    counts = source.groupBy(*on).agg(F.count("*").alias("n_source"))
+    return rows.join(counts, list(on), "left").withColumn("n_source", F.coalesce("n_source", F.lit(0)))
 
 
 def without_cancelled(rows: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Drop rows whose (client_id, session of request_id) was cancelled; rows without a session stay."""
-    with_session = rows.withColumn("session", scalars.session_of(F.col("request_id")))
-    return with_session.join(cancelled.select("client_id", "session").distinct(), ["client_id", "session"], "left_anti")
+    gone = cancelled.select(F.col("client_id").alias("gone_client"), F.col("session").alias("gone_session")).distinct()
+    return rows.join(gone, (rows["client_id"] == gone["gone_client"]) & (scalars.session_of(rows["request_id"]) == gone["gone_session"]), "left_anti")
 
 
 def edges(rows: DataFrame, normalise=None) -> DataFrame:

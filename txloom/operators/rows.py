@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom import schemas
+from txloom import schemas, scratch
 from txloom.functions import scalars
 
 #: Payment formats in the order in which planted rows take them (fixed values).
@@ -26,37 +26,50 @@ def project(df: DataFrame, fields: list[str], int_fields: tuple[str, ...] = (),
     return out.withColumnsRenamed(rename or {})
 
 
-def split_cases(df: DataFrame, field: str, cases: list[tuple[str, str, str]]) -> DataFrame:
-    """Label rows with the first case (label, low, high) whose range holds the first ten characters; others go."""
+def split_cases(df: DataFrame, field: str, cases: list[tuple[str, str, str]], name: str = "case") -> DataFrame:
+    """Label rows, in the new column ``name``, with the first case (label, low, high) whose range holds the first ten characters; others go."""
+    schemas.free(df, name)
     value = F.substring(F.col(field), 1, 10)
     label = reduce(lambda c, x: c.when(value.between(x[1], x[2]), x[0]), cases[1:], F.when(value.between(cases[0][1], cases[0][2]), cases[0][0]))
-    return df.withColumn("case", label).where("case is not null")
+    return df.withColumn(name, label).where(F.col(name).isNotNull())
 
 
 def without_nulls(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def systematic_sample(df: DataFrame, percent: float, *order: str) -> DataFrame:
-    """Row i of the order stays where i * percent / 100 passes a whole number.
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """(row, rank): every row as a struct, with its place from 1 in a global order.
 
-    Ranks come from range partitions and their counts, so no task sees all rows; the
-    order's columns must tell rows apart, or equal rows share their places.
+    The order is made once and written: range partitions, each sorted, with the row's place
+    in its partition. Places and partition sizes are both read from that table, so they can't
+    come from two different cuts, whatever columns a later step prunes. Ties of ``order`` are
+    broken by a hash of the row, which also spreads a hot key over partitions; only rows that
+    are equal throughout share a partition. Nulls come first.
     """
-    ranked = with_rank(df, *order)
-    share = F.floor(F.col("_rank") * percent / 100) > F.floor((F.col("_rank") - 1) * percent / 100)
-    return ranked.where(share).drop("_rank")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    hashed = F.xxhash64(F.to_json("row"))  # also of maps, which have no hash of their own
+    keyed = rows.select("row", *(F.col("row").getField(c).alias(f"k{i}") for i, c in enumerate(order)), hashed.alias("tie"))
+    keys = [*(f"k{i}" for i in range(len(order))), "tie"]
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the place in it
+    placed = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("row", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place"))
+    placed = scratch.saved(placed, "ranked")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each partition, whatever the table's size
+    return placed.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("row", (F.col("before") + F.col("place") + 1).alias("rank"))
 
 
-def with_rank(df: DataFrame, *order: str) -> DataFrame:
-    """Add ``_rank`` from 1 in a global order."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    earlier = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    # a row for each partition
-    return parted.join(F.broadcast(earlier), "_part").withColumn("_rank", own + F.col("_before")).drop("_part", "_before")
+def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """All columns and ``name``, the row's place from 1 in a global order; see ``ranked``."""
+    schemas.free(df, name)
+    return ranked(df, *order).select("row.*", F.col("rank").alias(name))
+
+
+def systematic_sample(df: DataFrame, percent: float, *order: str) -> DataFrame:
+    """Row i of the order stays where i * percent / 100 passes a whole number; all columns of the row stay."""
+    return ranked(df, *order).where(F.floor(F.col("rank") * percent / 100) > F.floor((F.col("rank") - 1) * percent / 100)).select("row.*")
 
 
 def hash_sample(df: DataFrame, percent: float, *key: str) -> DataFrame:
@@ -70,7 +83,9 @@ def bernoulli_sample(df: DataFrame, percent: float, seed: int) -> DataFrame:
 
 def head_sample(df: DataFrame, percent: float, *order: str) -> DataFrame:
     """The first int(n * percent / 100) rows of an order, by ranks over range partitions: a tenth of a large table is large."""
-    return with_rank(df, *order).where(F.col("_rank") <= int(df.count() * percent / 100)).drop("_rank")
+    placed = ranked(df, *order)
+    n = placed.agg(F.count("*")).first()[0]  # of the rows that were ranked, not of a second run of their plan
+    return placed.where(F.col("rank") <= int(n * percent / 100)).select("row.*")
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:

@@ -670,9 +670,18 @@ def t8_stream(s, d):
 # ---- data preparation
 
 
-@query("D1", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events) WHERE floor(CAST(i * 30 AS DOUBLE) / 100) > floor(CAST((i - 1) * 30 AS DOUBLE) / 100)")
+EVENT = "event_id, user_id, event_type, value"
+
+
+@query("D1", f"SELECT {EVENT} FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events) WHERE floor(CAST(i * 30 AS DOUBLE) / 100) > floor(CAST((i - 1) * 30 AS DOUBLE) / 100)")
 def d1(s, d):
-    return rows.systematic_sample(readers.read_table(s, d, "events").select("event_id"), 30, "event_id")
+    return rows.systematic_sample(readers.read_table(s, d, "events"), 30, "event_id").select("event_id", "user_id", "event_type", "value")
+
+
+@query("D1_rank", f"SELECT {EVENT}, row_number() OVER (ORDER BY event_type, value, event_id) AS rank FROM events")
+def d1_rank(s, d):
+    """The order that samples are drawn from, with many ties in its first column."""
+    return rows.with_rank(readers.read_table(s, d, "events").select("event_id", "user_id", "event_type", "value"), "event_type", "value", "event_id")
 
 
 @query("D2", "SELECT event_id FROM events WHERE " + horner("CAST(event_id AS VARCHAR)", 10_000) + " <= 2500")
@@ -692,9 +701,9 @@ def d2_draws(s, d):
     return strangers.crossJoin(sizes.select(fits.alias("size_fits"), "n"))
 
 
-@query("D3", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events) WHERE i <= floor(n * 0.1)")
+@query("D3", f"SELECT {EVENT} FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events) WHERE i <= floor(n * 0.1)")
 def d3(s, d):
-    return rows.head_sample(readers.read_table(s, d, "events").select("event_id"), 10, "event_id")
+    return rows.head_sample(readers.read_table(s, d, "events"), 10, "event_id").select("event_id", "user_id", "event_type", "value")
 
 
 PLANTED = "SELECT '777' AS from_bank, 'SRC' AS from_account, lpad(CAST(900 + i % 50 AS VARCHAR), 3, '0') AS to_bank, 'MID' || lpad(CAST(i AS VARCHAR), 3, '0') AS to_account FROM range(8) r(i) UNION ALL SELECT lpad(CAST(900 + i % 50 AS VARCHAR), 3, '0'), 'MID' || lpad(CAST(i AS VARCHAR), 3, '0'), '888', 'DST' FROM range(8) r(i)"

@@ -51,6 +51,13 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def free(df: DataFrame, *columns: str) -> None:
+    """An error if the frame already has a column that an operator is about to add."""
+    taken = [c for c in columns if c in df.columns]
+    if taken:
+        raise ValueError(f"the table already has columns {', '.join(taken)}; choose another name or rename them")
+
+
 def unique_headers(names: list[str]) -> list[str]:
     """A second column of a name gets ``.1``, a third ``.2`` and so on."""
     seen: dict[str, int] = {}

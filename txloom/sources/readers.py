@@ -35,10 +35,10 @@ def read_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_with_header(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file whose header may repeat names: the first line is read alone, repeats get ``.1``; all columns are text."""
+    """A CSV file whose header may repeat names: the first line is read alone, repeats get ``.1``; all columns are text, split on every comma."""
     first = spark.read.text(path).limit(1).first()
     names = schemas.unique_headers(first[0].split(",")) if first else []
-    return spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True).option("enforceSchema", True).csv(path)
+    return spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True).option("quote", "").option("enforceSchema", True).csv(path)
 
 
 def envelope_rows(envelopes: DataFrame) -> DataFrame:
