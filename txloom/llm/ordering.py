@@ -31,3 +31,17 @@ def running_start(parted: DataFrame, value: str, *keys: str, out: str = "start")
     # the totals are a row for each partition: bounded by the number of partitions
     joined = parted.join(F.broadcast(before_part(parted, value)), "_part")
     return joined.withColumn(out, (F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_before")).cast("long")).drop("_before")
+
+
+def ranked(df: DataFrame, ws: Workspace, name: str, *keys: str) -> DataFrame:
+    """Write ``df`` in the order of ``keys`` and give it with ``rank``, its place from 0 in all of it.
+
+    The place in a partition is written with the row, so partition sizes and places are of the
+    same cut; rows that tie in all keys share a partition, in any order.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the place in it
+    parted = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = ws.save(parted.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_place")).withColumn("_one", F.lit(1)), name)
+    # the totals are a row for each partition: bounded by the number of partitions
+    return placed.join(F.broadcast(before_part(placed, "_one")), "_part").withColumn("rank", F.col("_before") + F.col("_place")).drop("_part", "_place", "_one", "_before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, licenses, minhash, packing, quality, token_store, toxicity, vector_dedup
+from . import chat, decontam, dialogue, html_extract, licenses, minhash, packing, quality, token_store, toxicity, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -66,6 +66,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), Workspace(spark, "html"))
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return dialogue.summary(turns, dialogue.damaged(turns), Workspace(spark, "dialogue"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_html_text": op10_html_text,
+        "op11_dialogue_repair": op11_dialogue_repair,
     }
 
 
