@@ -19,6 +19,7 @@ COLUMNS = {
     "op9": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op10": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op11": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op12": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
 }
 WHOLE = {"op1": "documents", "op2": "embeddings", "op4": "documents", "op8": "documents", "op9": "documents", "op10": "pages"}
 

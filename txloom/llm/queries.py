@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dialogue, html_extract, licenses, minhash, packing, quality, token_store, toxicity, vector_dedup
+from . import chat, decontam, dialogue, divergence, html_extract, licenses, minhash, packing, quality, token_store, toxicity, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -71,6 +71,10 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.summary(turns, dialogue.damaged(turns), Workspace(spark, "dialogue"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Workspace(spark, "divergence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -84,8 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_html_text": op10_html_text,
         "op11_dialogue_repair": op11_dialogue_repair,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.SQL}
+    return {"op3_decontamination": decontam.SQL, "op12_source_divergence": divergence.SQL}
