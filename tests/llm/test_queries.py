@@ -20,8 +20,9 @@ COLUMNS = {
     "op10": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op11": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
     "op12": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op13": {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in ("email", "ip", "card", "phone")}, "base_sha256": "string", "spans": "string"},
 }
-WHOLE = {"op1": "documents", "op2": "embeddings", "op4": "documents", "op8": "documents", "op9": "documents", "op10": "pages"}
+WHOLE = {"op1": "documents", "op2": "embeddings", "op4": "documents", "op8": "documents", "op9": "documents", "op10": "pages", "op13": "documents"}
 
 
 def test_all_are_registered():
@@ -40,7 +41,7 @@ def test_query(spark, sf_dir, name):
     if op == "op5":
         lengths = got.agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
         assert lengths["s"] <= -(-lengths["n"] // 2048) + 2
-    if op == "op6":
+    if op in ("op6", "op13"):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dialogue, divergence, html_extract, licenses, minhash, packing, quality, token_store, toxicity, vector_dedup
+from . import chat, decontam, dialogue, divergence, html_extract, licenses, minhash, packing, privacy, quality, token_store, toxicity, vector_dedup
 from .encode import default_tokenizer
 from .workspace import Workspace
 
@@ -75,6 +75,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), Workspace(spark, "divergence"))
 
 
+def op13_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digests(privacy.scan(table(spark, sf_dir, "documents"), Workspace(spark, "privacy")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_text": op10_html_text,
         "op11_dialogue_repair": op11_dialogue_repair,
         "op12_source_divergence": op12_source_divergence,
+        "op13_privacy": op13_privacy,
     }
 
 
