@@ -317,20 +317,3 @@ def test_streams_end_as_batches(spark, sf_dir):
     left = jobs.once(spark.readStream.schema(kind).parquet(path), ["client_id", "request_id"])
     assert sorted((str(r.client_id), str(r.request_id)) for r in left.collect()) == [("None", "r1"), ("None", "r1"), ("c1", "None"), ("c1", "None"), ("c1", "r1"), ("c2", "r1")]
     assert jobs.windowed_counts(readers.event_stream(spark, sf_dir), "1 day", "1 hour").agg(F.sum("n")).first()[0] == batch.count()
-
-
-def test_silent_alert_stream(spark):
-    path, out = scratch.folder(spark, "beats"), scratch.folder(spark, "alerts-checkpoint")
-    spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2))], "e string, ts timestamp").write.parquet(path)
-    jobs.rocksdb(spark)
-    roster = spark.createDataFrame([("c",), ("c",)], "e string")
-    query = jobs.silent_alerts(spark.readStream.schema("e string, ts timestamp").parquet(path), "e", 500, roster).writeStream.format("memory").queryName("alerts").outputMode("update").option("checkpointLocation", out).trigger(processingTime="1 second").start()
-    try:
-        for _ in range(60):
-            query.awaitTermination(1)
-            if spark.table("alerts").select("e").distinct().count() == 3:
-                break
-        assert {(r.e, r.last_ts) for r in spark.table("alerts").collect()} == {("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2)), ("c", None)}
-    finally:
-        query.stop()
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -578,20 +578,19 @@ def t1_stream(s, d):
     return jobs.once(twice, ["client_id", "request_id"]).groupBy("client_id", "request_id").agg(F.count("*").alias("n"))
 
 
-def in_two_parts(s, d, name, run):
-    """Run a job on one half of the events and, from the same checkpoint, on the other half when it has arrived."""
+def in_two_parts(s, rows, name, run, first="event_id % 2 = 0"):
+    """Run a job on one part of the rows and, from the same checkpoint, on the rest when it has arrived."""
     path, checkpoint, table = (scratch.folder(s, f"{name}-{x}") for x in ("events", "checkpoint", "table"))
-    r = requests(s, d)
-    for half in (0, 1):
-        r.where(F.col("event_id") % 2 == half).write.mode("append").parquet(path)
-        out = run(s.readStream.schema(r.schema).parquet(path), checkpoint, table)
+    for part in (first, f"NOT ({first})"):
+        rows.where(part).write.mode("append").parquet(path)
+        out = run(s.readStream.schema(rows.schema).parquet(path), checkpoint, table)
     return out
 
 
 @query("T1_restart", over("rq", f"SELECT client_id, request_id, count(*) AS n FROM ({ONCE}) GROUP BY ALL"))
 def t1_restart(s, d):
     job = lambda e, checkpoint, table: jobs.once(e.select("client_id", "request_id", "ts"), ["client_id", "request_id"], checkpoint=checkpoint, table=table)
-    return in_two_parts(s, d, "t1", job).groupBy("client_id", "request_id").agg(F.count("*").alias("n"))
+    return in_two_parts(s, requests(s, d), "t1", job).groupBy("client_id", "request_id").agg(F.count("*").alias("n"))
 
 
 @query("T2", over("rq", "SELECT event_id, request_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY event_id) AS k FROM rq) WHERE k = 1 OR request_id IS NULL"))
@@ -606,19 +605,37 @@ def t3(s, d):
 
 @query("T3_restart", over("rq", "SELECT client_id, count(*) AS count FROM rq GROUP BY client_id"))
 def t3_restart(s, d):
-    return in_two_parts(s, d, "t3", jobs.count_by_client)
+    return in_two_parts(s, requests(s, d), "t3", jobs.count_by_client)
+
+
+T4_SQL = over("rq", "SELECT client_id, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY value DESC, event_id) AS k FROM rq WHERE value IS NOT NULL) WHERE k = 1")
 
 
-@query("T4", over("rq", "SELECT client_id, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY value DESC, event_id) AS k FROM rq WHERE value IS NOT NULL) WHERE k = 1"))
+@query("T4", T4_SQL)
 def t4(s, d):
     return jobs.largest_by_client(readers.event_stream(s, d))
 
 
-@query("T5", over("rq", "SELECT client_id, event_type, count(DISTINCT user_id) AS n_values FROM rq GROUP BY ALL HAVING count(DISTINCT user_id) > 2"))
+@query("T4_restart", T4_SQL)
+def t4_restart(s, d):
+    return in_two_parts(s, requests(s, d), "t4", jobs.largest_by_client)
+
+
+T5_GROUPS = "SELECT client_id, event_type, count(DISTINCT user_id) AS n_values FROM rq GROUP BY ALL HAVING count(DISTINCT user_id) > 2"
+
+
+@query("T5", over("rq", T5_GROUPS))
 def t5(s, d):
     return jobs.distinct_by_group(readers.event_stream(s, d), ["client_id", "event_type"], ["user_id"], 2)
 
 
+@query("T5_explode", over("rq", f"SELECT DISTINCT client_id, event_type, CAST(user_id AS VARCHAR) AS user_id FROM rq SEMI JOIN ({T5_GROUPS}) USING (client_id, event_type)"))
+def t5_explode(s, d):
+    """The values of the groups that pass, each sent once, over a stop half-way."""
+    job = lambda e, checkpoint, table: jobs.distinct_by_group(e, ["client_id", "event_type"], ["user_id"], 2, explode=True, checkpoint=checkpoint, table=table)
+    return in_two_parts(s, requests(s, d), "t5", job)
+
+
 @query("T6", over("rq", "SELECT client_id, n_buys, n_views FROM (SELECT client_id, count(*) AS n_buys FROM rq WHERE event_type = 'purchase' GROUP BY client_id) JOIN (SELECT client_id, count(*) AS n_views FROM rq WHERE event_type = 'view' GROUP BY client_id) USING (client_id)"))
 def t6(s, d):
     def finish(buys, views):
@@ -630,13 +647,14 @@ def t6(s, d):
 
 @query("T6_means", over("tx", f"SELECT from_account, payment_format, {AMOUNT} FROM tx JOIN (SELECT payment_format, {MEAN} AS mean FROM tx WHERE substr(ts_text, 1, 10) <= '1997/12/31' GROUP BY payment_format) USING (payment_format) WHERE substr(ts_text, 1, 10) >= '1998/01/01' AND CAST(amount_paid AS DOUBLE) < mean * 0.01"))
 def t6_means(s, d):
-    """Late rows wait in a table until the means of the early ones are there."""
-    path = scratch.folder(s, "t6")
-    t = tx(s, d)
-    t.write.parquet(path)
-    stream = s.readStream.schema(t.schema).parquet(path).select("ts_text", "from_account", "payment_format", "amount_paid")
-    early, late = (predicates.keep(stream, ("between", "ts_text", period)) for period in (EARLY, LATE))
-    return jobs.two_inputs(early, late, lambda a, b: joins.below_baseline(b, a)).select("from_account", "payment_format", "amount_paid")
+    """Late rows wait in keyed state until the early period is over; the stream stops between the two."""
+
+    def job(t, checkpoint, table):
+        stream = t.withColumn("ts", F.to_timestamp("ts_text", "yyyy/MM/dd HH:mm"))
+        early, late = (predicates.predicate(t, "between", "ts_text", period) for period in (EARLY, LATE))
+        return jobs.run_to_end(jobs.below_baseline(stream, early, late, "1998-01-01", ["from_account"]), "append", "t6", checkpoint, table)
+
+    return in_two_parts(s, tx(s, d), "t6", job, "ts_text < '1996/06/01'")
 
 
 AS_OF, TIMEOUT = "2024-01-28 00:00:00", 2 * 86400
@@ -653,6 +671,24 @@ def t7_gaps(s, d):
     return joins.gaps(requests(s, d), "user_id", TIMEOUT // 2).select("user_id", "alerts")
 
 
+WATCHED = 86400
+ALERTS = f"""SELECT user_id, from_s, count(*) AS alerts, bool_and(reported) AS reported FROM (SELECT user_id, from_s, reported, unnest(range(1, CAST(greatest(1, ceil((until_s - from_s) / {WATCHED})) AS BIGINT))) AS k FROM (
+SELECT user_id, from_s, reported, least(coalesce(lead(from_s) OVER (PARTITION BY user_id ORDER BY from_s, reported), 1e18), (SELECT epoch_ms(max(ts)) / 1000 - 3600 FROM events)) AS until_s FROM (
+SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS from_s, true AS reported FROM events UNION ALL SELECT DISTINCT c_custkey, CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT), false FROM customer))) GROUP BY user_id, from_s"""
+
+
+@query("T7_stream", ALERTS)
+def t7_stream(s, d):
+    """Alerts of silent entities as the watermark passes them, over a stop half-way; customers are watched from the start."""
+    roster = readers.read_table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("2024-01-01").cast("timestamp").alias("since")).distinct()
+
+    def job(e, checkpoint, table):
+        return jobs.run_to_end(jobs.silent_alerts(e.select("user_id", "ts"), "user_id", WATCHED, roster=roster), "append", "t7", checkpoint, table)
+
+    alerts = in_two_parts(s, requests(s, d).select("user_id", "ts"), "t7", job, "ts < timestamp'2024-01-15'")
+    return alerts.groupBy("user_id", "from_s").agg(F.count("*").alias("alerts"), F.every("reported").alias("reported"))
+
+
 @query("T8", over("rq", f"SELECT client_id, count(*) AS count FROM ({LIVE}) GROUP BY client_id"))
 def t8(s, d):
     return aggregates.total_count(joins.without_cancelled(requests(s, d), cancelled(s, d)), "client_id")
@@ -664,7 +700,7 @@ def t8_stream(s, d):
         discard = F.expr("event_type = 'error' AND value > 100 AND request_id IS NOT NULL")
         return jobs.count_after_discard(e.withColumn("session", scalars.session_of(F.col("request_id"))), "session", discard, checkpoint, table)
 
-    return in_two_parts(s, d, "t8", job)
+    return in_two_parts(s, requests(s, d), "t8", job)
 
 
 # ---- data preparation
