@@ -118,4 +118,34 @@ OTHERS = (
     "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed.",
     "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+    "Der Mann geht mit dem Hund durch die Stadt und kommt mit der Bahn zurück.",
+    "Mit freundlichen Grüßen und mit Dank für die Genehmigung von der Verwaltung.",
+    "Die Version der Datei liegt bei mit der Post, auf die wir warten.",
+    "Le public a la permission de lire la notice sur le site de la ville.",
+    "La licence de pêche est valable pour la version de cette année.",
+    "El público tiene permiso para leer la licencia en la ciudad.",
+    "La versión de la obra fue publicada con los autores en la fundación.",
+    "Il pubblico ha il permesso di leggere la licenza nella città.",
+    "O autor tem a licença e a versão do texto com os amigos.",
+    "De man gaat met de hond naar het park met de kinderen.",
+    "Mannen går med hunden till parken med sin licens.",
+    "Mężczyzna ma licencję i wersję tekstu z autorem.",
+    "mit und der die das ist nicht von zu auf ein eine als auch für",
+    "le la les de des et un une est pas pour que dans sur avec au",
+    "el la los las de y un una es no para que en con por al",
+    "the of and to in is that for it as was with be by on not he",
 )
+
+#: Short public names that confirm a family on their own, of three words or more (fixed values).
+IDENTIFIERS = {
+    "GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later", "GPLv3 or later", "GNU GPL v3"),
+    "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later", "GPLv2 or later", "GNU GPL v2"),
+    "LGPL": ("LGPL-2.1", "LGPL-3.0", "GNU LGPL v2", "GNU LGPL v3"),
+    "AGPL-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPLv3 or later", "GNU AGPL v3"),
+    "Apache-2.0": ("Apache-2.0", "Apache License 2.0"),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "MPL-2.0": ("MPL-2.0", "Mozilla Public License 2.0"),
+    "CC-BY": ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    "CC-BY-SA": ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "CC0": ("CC0-1.0-Universal", "SPDX CC0-1.0"),
+}

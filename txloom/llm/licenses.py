@@ -8,11 +8,13 @@ the driver, from paragraphs of public notices, mutilated copies and pieces of th
 everyday sentences that use the same words. A temperature fitted on copies kept from training
 calibrates the probabilities; under ``SURE`` the family is unknown. A prediction is
 confirmed when the paragraph holds ``LIKE`` of the word 3-grams of one of the family's
-notices.
+notices, and an unconfirmed one is unknown: words alone name no licence. Everyday sentences of
+several languages train the unknown class, so that no foreign word decides.
 
 ``score`` describes every paragraph with a word and gives each a row. ``scan`` leaves
 out those that stay unknown and have no word of ``ANCHORS``.
-The weights and notices are small tables bounded by the notices, so they are broadcast.
+The weights are arrays bounded by the notices, fixed in the plan, and the notices a small
+table that is broadcast.
 Sentences that several licences share (disclaimers) name none: they are unknown.
 
 Defined results: null and empty texts have no paragraphs; a text's equal paragraphs
@@ -23,14 +25,17 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .licence_texts import NOTICES, OTHERS
+from .licence_texts import IDENTIFIERS, NOTICES, OTHERS
 
 SURE = 0.6
 LIKE = 0.6
@@ -67,6 +72,7 @@ def _mutilated(words: list[str], rng: np.random.Generator, fillers: list[str]) -
     return kept
 
 
+@functools.cache
 def fit(copies: int = 12, steps: int = 250, ridge: float = 2e-4) -> Model:
     """Train on the notices. The data are the fixed values above, so the work does not depend on the corpus."""
     rng = np.random.Generator(np.random.PCG64(6))
@@ -126,35 +132,88 @@ def _runs(n: int):
     return F.filter(out, lambda x: x.isNotNull())  # the shorter side is filled with nulls
 
 
+def templates(family: str) -> tuple[str, ...]:
+    """The texts that confirm a family: its notices and its short names."""
+    return (*NOTICES.get(family, ()), *IDENTIFIERS.get(family, ()))
+
+
 def threes(words: list[str]) -> list[str]:
     return sorted({" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))})
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """A fixed array as one literal; the optimizer makes it once."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+SLOTS = 1 << 15
+
+
+def _places(grams: list[str]) -> list[int]:
+    """A table in which each gram is in one of its two slots (cuckoo hashing); -1 is empty."""
+    table = [-1] * SLOTS
+
+    def slots(n: int) -> tuple[int, int]:
+        g = grams[n].encode()
+        signed = xxhash.xxh64_intdigest(g, 42)
+        return (signed - (1 << 64) if signed >> 63 else signed) % SLOTS, zlib.crc32(g) % SLOTS
+
+    for first in range(len(grams)):
+        n, at = first, slots(first)[0]
+        for _ in range(1000):
+            n, table[at] = table[at], n
+            if n < 0:
+                break
+            a, b = slots(n)
+            at = b if at == a else a
+        else:
+            raise ValueError("the grams don't fit the table")
+    return table
+
+
+def _known(all: Column, grams: list[str]) -> Column:
+    """The numbers of those grams of an array that are in a fixed list."""
+    table, names = _numbers(_places(grams), "int"), F.split(F.lit("\n".join(grams)), "\n")
+
+    def number(g: Column) -> Column:
+        one, two = F.get(table, F.pmod(F.xxhash64(g), F.lit(SLOTS))), F.get(table, F.crc32(g) % SLOTS)
+        return F.when(F.get(names, one) == g, one).when(F.get(names, two) == g, two)
+
+    return F.filter(F.transform(all, number), lambda x: x.isNotNull())
+
+
+def _summed(bias: float, weights: list[float]) -> Column:
+    own = _numbers(weights, "double")
+    return F.aggregate("found", F.lit(bias), lambda a, x: a + F.get(own, x))
+
+
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed, anchored) of each paragraph."""
+    """(doc_id, paragraph, family, probability, similarity, confirmed, anchored, likely) of each paragraph.
+
+    ``likely`` is what the classifier says, ``family`` what a template confirms. The weights
+    are added up inside the row, so nothing is shuffled.
+    """
     spark = docs.sparkSession
     model = model or fit()
     k = len(model.families)
-    weights = spark.createDataFrame([("", model.bias), *model.weights.items()], "gram string, w array<double>")
-    theirs = {f: [threes(words_of(t)) for t in own] for f, own in NOTICES.items()}
+    theirs = {f: [threes(words_of(t)) for t in templates(f)] for f in NOTICES}
     notices = spark.createDataFrame(list(theirs.items()), "family string, theirs array<array<string>>")
     known = sorted({x for own in theirs.values() for t in own for x in t})
 
     mine = F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_runs(3))
     # no longer than the notices, however long the paragraph
     shared = F.array_distinct(F.filter(mine, lambda x: x.isin(known)))
-    described = paragraphs(docs).withColumns({"shared": shared, "anchored": F.exists("words", lambda w: w.isin(*ANCHORS))})
-    key = ["row", "doc_id", "paragraph", "shared", "anchored"]
-    # the empty gram carries the bias, so a paragraph of unknown words has a row, too
-    own = described.select(*key, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "words", _runs(2)))).alias("gram"))
-    summed = own.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(k)))
-    scored = summed.select(*key, F.array(*(f"z{c}" for c in range(k))).alias("z")).withColumn("top", F.array_max("z"))
+    found = _known(F.array_distinct(F.concat("words", _runs(2))), sorted(model.weights))
+    described = paragraphs(docs).select("doc_id", "paragraph", shared.alias("shared"), F.exists("words", lambda w: w.isin(*ANCHORS)).alias("anchored"), found.alias("found"))
+    rows = [model.weights[g] for g in sorted(model.weights)]
+    summed = [_summed(model.bias[c], [r[c] for r in rows]) for c in range(k)]
+    scored = described.withColumn("z", F.array(*summed)).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int")).withColumn("p", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    named = scored.withColumn("family", F.when(F.col("p") >= SURE, F.array(*map(F.lit, model.families))[F.col("best")]).otherwise(F.lit(UNKNOWN)))
-    compared = named.join(F.broadcast(notices), "family", "left")
+    named = scored.withColumn("likely", F.when(F.col("p") >= SURE, F.array(*map(F.lit, model.families))[F.col("best")]).otherwise(F.lit(UNKNOWN)))
+    compared = named.join(F.broadcast(notices.withColumnRenamed("family", "likely")), "likely", "left")
     similarity = F.coalesce(F.array_max(F.transform("theirs", lambda t: F.size(F.array_intersect("shared", t)) / F.size(t))), F.lit(0.0))
-    out = compared.withColumn("similarity", similarity)
-    return out.select("doc_id", "paragraph", "family", F.col("p").alias("probability"), "similarity", (F.col("similarity") >= LIKE).alias("confirmed"), "anchored")
+    out = compared.withColumn("similarity", similarity).withColumn("confirmed", F.col("similarity") >= LIKE)
+    return out.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("likely")).otherwise(F.lit(UNKNOWN)).alias("family"), F.col("p").alias("probability"), "similarity", "confirmed", "anchored", "likely")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
