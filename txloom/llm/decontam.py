@@ -2,14 +2,13 @@
 
 Which documents hold a benchmark item? An item with n distinct five-word shingles is
 held when at least ``needed(n)`` = ceil(0.75 n) of them are in the document. Items
-are partitioned by n, and each size keeps the sketch its bound asks for: the
-n - needed(n) + 1 least shingle hashes (a bottom-k MinHash). A document that holds
-the item lacks at most n - needed(n) of its shingles, so it has at least one of the
-sketch: the search misses nothing, however long the document is. Candidates are
-confirmed by exact containment of whole shingle sets.
-
-Any order of the shingles gives such a sketch; here shingles that few items have come
-first, then the least hashes, so that a phrase that many items share is rarely in one.
+are partitioned by size, a partition for each power of two (and for each number of words
+under five), with a table of its own. An item's sketch is a bottom-k MinHash: its
+n - needed(n) + 1 least shingle hashes. A document that holds the item lacks at most
+n - needed(n) of its shingles, so it has at least one of the sketch: the search misses
+nothing, however long the document is. A partition whose least item needs more shingles than a
+document has is not looked up. Candidates are confirmed by exact containment of whole
+shingle sets.
 
 The sketches and item sets go to the tasks as sorted arrays of bounded size: items are
 taken in slices of at most ``SLICE_WORDS`` words, about 16 bytes each in every worker. A
@@ -47,7 +46,7 @@ def needed(n: int) -> int:
 
 
 class Index:
-    """Items' sets in one array, and by shingle width the sketched hashes, sorted, each beside its item."""
+    """Items' sets in one array, and for each partition by width and size the sketched hashes, sorted, each beside its item."""
 
     BITS = 22
 
@@ -57,35 +56,36 @@ class Index:
         self.ids = [s[0] for s in sets]
         self.ends = np.cumsum([0, *(len(s[2]) for s in sets)])
         self.flat = np.concatenate([s[2] for s in sets]) if sets else np.zeros(0, np.uint64)
-        values, counts = np.unique(self.flat, return_counts=True)
-        sketches: dict[int, list[tuple[np.ndarray, int]]] = {}
+        parts: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
         for k, (_, width, own) in enumerate(sets):
-            often = counts[np.searchsorted(values, own)]
-            # hashes are uniform 64-bit values, so their order is a random order of the shingles
-            first = own[np.lexsort((own, often))[: len(own) - needed(len(own)) + 1]]
-            sketches.setdefault(width, []).append((first, k))
-        self.widths = [(w, *self._table(own)) for w, own in sorted(sketches.items())]
+            # sets are sorted and hashes are uniform: the first ones are a MinHash sketch
+            parts.setdefault((width, len(own).bit_length()), []).append((own[: len(own) - needed(len(own)) + 1], k))
+        least = lambda some: min(needed(len(sets[k][2])) for _, k in some)
+        self.parts = [(width, least(some), *self._table(some)) for (width, _), some in sorted(parts.items())]
 
     def _table(self, own: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = np.concatenate([first for first, _ in own])
         item = np.repeat(np.array([k for _, k in own], np.int32), [len(first) for first, _ in own])
         order = np.argsort(keys, kind="stable")
         # a bit for each low part of a sketched hash: most shingles end here
-        bits = np.zeros(1 << self.BITS, bool)
+        bits = np.zeros(1 << self.BITS, bool)  # a few partitions of four megabytes
         bits[(keys & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
         return keys[order], item[order], bits
 
     def held(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item_id, size, shared) of the items that a document of these word hashes holds."""
-        for width, keys, items, bits in self.widths:
-            if len(words) < width:
+        runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width, least, keys, items, bits in self.parts:
+            if len(words) - width + 1 < least:
                 continue
-            runs = shingles(words, width)
-            maybe = runs[bits[(runs & np.uint64((1 << self.BITS) - 1)).astype(np.int64)]]
+            if width not in runs:
+                own = np.unique(shingles(words, width))
+                runs[width] = own, (own & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+            own, low = runs[width]
+            maybe = own[bits[low]]
             lo, hi = np.searchsorted(keys, maybe), np.searchsorted(keys, maybe, side="right")
             if not (hi > lo).any():
                 continue
-            own = np.unique(runs)
             for k in np.unique(np.concatenate([items[a:b] for a, b in zip(lo, hi, strict=True) if b > a])).tolist():
                 item = self.flat[self.ends[k] : self.ends[k + 1]]
                 shared = len(np.intersect1d(item, own, assume_unique=True))
@@ -148,10 +148,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns: decided row by row, whatever the ids; nothing is shuffled."""
+    """The rows of ``docs`` that hold no item, with all their columns: decided row by row, whatever the ids; nothing is shuffled.
+
+    With several slices the rows that each one leaves are written before the next, so one
+    index is held at a time.
+    """
     bounded_batches(docs.sparkSession)
-    for index in slices(benchmark):
-        docs = docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(index))(F.col("text").cast("string")))
+    ws, before = None, None
+    for k, index in enumerate(slices(benchmark)):
+        if before is not None:
+            ws = ws or Workspace(docs.sparkSession, "clean")
+            docs = ws.save(docs, f"slice-{k}")
+            before.destroy()
+            if k > 1:
+                ws.drop(f"slice-{k - 1}")
+        before = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(~_holds(before)(F.col("text").cast("string")))
     return docs
 
 
