@@ -185,6 +185,10 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from within(held.combine_chunks().to_batches()[0])
 
 
+#: Bytes of shingle sets on each side of a tile.
+TILE_BYTES = 48_000_000
+
+
 def _find(parent: list[int], k: int) -> int:
     while parent[k] != k:
         parent[k] = parent[parent[k]]
@@ -242,8 +246,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between components of large buckets, confirmed."""
-    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n")).select("key", F.col("m.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m.c")) / (2 * BLOCK)).cast("int").alias("parts"))
+    sized = rows.join(sets.select("fp", F.length("items").alias("size")), "fp")
+    by_comp = sized.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    # a tile is bounded by its rows and by the bytes of their sets
+    cut = lambda n, rows_, s: F.ceil(F.greatest(n / rows_, s / TILE_BYTES)).cast("int")
+    whole = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("n"), F.sum("s").alias("s"))
+    main = whole.select("key", F.col("m.comp").alias("main"), cut(F.col("n"), BLOCK, F.col("s")).alias("blocks"), cut(F.col("n") - F.col("m.c"), 2 * BLOCK, F.col("s") - F.col("m.s")).alias("parts"))
     inside = rows.drop("n").join(main, "key").join(sets, "fp")
     number = F.xxhash64("fp", "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -264,12 +272,14 @@ def _order():
 
 def _rows_among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, digest of the text) is among ``keys`` (left_semi), or isn't (left_anti)."""
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
-    keys = keys.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__text"))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # the row is one struct, so no name of its columns matters
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("digest"))
+    keys = keys.select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"))
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__digest") == F.col("__text"))
-    return own.join(keys, same, how).drop("__id", "__digest")
+    same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_digest"))
+    return own.join(keys, same, how).select("row.*")
 
 
 def _grouped(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
