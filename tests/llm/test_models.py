@@ -226,6 +226,21 @@ def test_training_rows(spark):
     assert labelled.training_rows(docs, labels, "toxic", 50).count() == 50
 
 
+def test_a_labelled_id_counts_once(spark):
+    docs = spark.range(300).selectExpr("id % 3 AS doc_id", "concat('text ', id % 2) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    rows = labelled.training_rows(docs, labels, "quality").collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 3 and {r.label for r in rows} <= {0, 1}
+
+
+def test_long_texts_are_pooled_in_blocks(monkeypatch):
+    table = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    texts = [b"a few words of it " * 40, b"", b"one", None]
+    whole = quality.pooled(table, texts)
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
+    assert np.allclose(quality.pooled(table, texts), whole) and not whole[1].any() and whole[0].any()
+
+
 def plain_scan(text, model):
     """The licence scan of one text in plain Python."""
     out = []
@@ -240,9 +255,9 @@ def plain_scan(text, model):
         p /= p.sum()
         family = model.families[int(p.argmax())] if p.max() >= licenses.SURE else licenses.UNKNOWN
         threes = lambda w: {" ".join(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {" ".join(w)}
-        like = max((len(threes(words) & threes(licenses.words_of(t))) / len(threes(licenses.words_of(t))) for t in licenses.NOTICES.get(family, ())), default=0.0)
+        like = max((len(threes(words) & threes(licenses.words_of(t))) / len(threes(licenses.words_of(t))) for t in licenses.templates(family)), default=0.0)
         if family != licenses.UNKNOWN or set(words) & set(licenses.ANCHORS):
-            out.append((n, family, round(float(p.max()), 6), round(like, 6), like >= licenses.LIKE))
+            out.append((n, family if like >= licenses.LIKE else licenses.UNKNOWN, round(float(p.max()), 6), round(like, 6), like >= licenses.LIKE))
     return out
 
 
@@ -293,10 +308,39 @@ EVERYDAY = ("He was granted permission to modify the house without restriction."
 def test_licences_kept_from_training(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*HELD_OUT.values(), *EVERYDAY])], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.score(docs).collect()}
-    right = [got[k].family == f for k, f in enumerate(HELD_OUT)]
-    assert sum(right) >= 9, [(f, got[k].family, got[k].probability) for k, f in enumerate(HELD_OUT)]
-    assert sum(got[len(HELD_OUT) + k].family == licenses.UNKNOWN for k in range(len(EVERYDAY))) >= len(EVERYDAY) - 1
+    right = [got[k].likely == f for k, f in enumerate(HELD_OUT)]
+    assert sum(right) >= 9, [(f, got[k].likely, got[k].probability) for k, f in enumerate(HELD_OUT)]
+    assert all(got[k].family == (got[k].likely if got[k].confirmed else licenses.UNKNOWN) for k in got)
+    assert all(got[len(HELD_OUT) + k].family == licenses.UNKNOWN for k in range(len(EVERYDAY)))
+
+
+PROSE = {
+    "de": "Sie kam mit der Zeitung aus der Stadt und sprach mit mir. Mit dem Rad, mit dem Bus: mit allem.",
+    "fr": "La version de la pièce est jouée avec la permission du public de la ville.",
+    "es": "La licencia del perro fue modificada por el autor de la obra, con permiso.",
+    "it": "Il sorgente del fiume è nella città, con la licenza di caccia.",
+    "nl": "De man kwam met de trein en met de fiets naar de stad.",
+    "sv": "Hon kom mit i natten med licens och tillstånd.",
+    "pl": "Kobieta poszła z psem do parku; mit grecki i licencja.",
+    "en": "He came with the news that MIT and the Apache had met in the public domain.",
+}
+
+
+def test_no_prose_is_a_licence(spark, sf_dir):
+    """Invented sentences of several languages, and all given documents, whose licence lines are the only ones with a family."""
+    docs = spark.createDataFrame(list(enumerate(PROSE.values())), "doc_id long, text string")
+    assert {r.family for r in licenses.score(docs).collect()} == {licenses.UNKNOWN}
+    given = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    named = licenses.score(given).where(f"family <> '{licenses.UNKNOWN}'").collect()
+    assert len(named) > 20 and all(r.confirmed and r.anchored for r in named)
+
+
+def test_the_table_of_grams_is_that_of_spark(spark):
+    from pyspark.sql import functions as F
 
+    grams = sorted(licenses.fit().weights)
+    rows = spark.createDataFrame([([*grams, "no such gram", "größe"],)], "g array<string>")
+    assert rows.select(licenses._known(F.col("g"), grams)).first()[0] == list(range(len(grams)))
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
 def test_wrapped_notices(spark, mark):

@@ -284,6 +284,68 @@ def test_long_items_and_common_phrases(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, bench).collect()} == {(0, 0), (1, 7), (2, 40)}
     index = decontam.Index([(k, t.encode()) for k, t in enumerate(items)])
-    # what the items share is in the sketch of none of them
-    shared = set(shingle_set(common.encode()).tolist())
-    assert not shared & set(np.concatenate([keys for _, keys, _, _ in index.widths]).tolist())
+    # a sketch is the least hashes of an item, in the partition of its size
+    least = lambda own: own[: len(own) - decontam.needed(len(own)) + 1].tolist()
+    want = sorted(h for t in items for h in least(shingle_set(t.encode())))
+    assert len(index.parts) == 2 and sorted(np.concatenate([part[2] for part in index.parts]).tolist()) == want
+
+
+def test_clean_over_several_slices_and_clashing_names(spark, monkeypatch):
+    from txloom.llm import decontam, minhash
+
+    items = [f"one{k} two{k} three{k} four{k} five{k} six{k} seven{k}" for k in range(12)]
+    docs = [(k, f"before {items[k % 12]} behind" if k % 2 else f"clean text number {k} that holds none of them", "own", b"own") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __id string, __digest binary")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(r.doc_id for r in decontam.clean(df, benchmark).collect())
+    monkeypatch.setattr(decontam, "SLICE_WORDS", 20)
+    parts = decontam.clean(df, benchmark)
+    assert sorted(r.doc_id for r in parts.collect()) == whole == [k for k in range(60) if k % 2 == 0]
+    assert parts.columns == df.columns
+    kept = minhash.deduplicated(df.union(df), Workspace(spark, "clash"))
+    assert kept.columns == df.columns and {(r["__id"], bytes(r["__digest"])) for r in kept.collect()} == {("own", b"own")}
+
+
+def test_large_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    """Tiles cut by the bytes of their sets find the same groups as tiles cut by rows."""
+    from txloom.llm import minhash
+
+    rng = random.Random(11)
+    common = [f"w{k}" for k in range(400)]
+    docs = []
+    for k in range(60):
+        words = list(common)
+        for _ in range(rng.randrange(0, 12)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        docs.append((k, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    figures = lambda: sorted(map(tuple, minhash.near_duplicates(df, Workspace(spark, "tiles")).collect()))
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    want = figures()
+    monkeypatch.setattr(minhash, "TILE_BYTES", 20_000)
+    assert figures() == want and len({r[2] for r in want}) < 60
+
+
+def test_partitions_by_size_lose_nothing():
+    """Held items of all sizes are found in documents of all lengths: recall 1 against whole sets."""
+    from txloom.llm import decontam
+    from txloom.llm.words import shingle_set, word_hashes, words_of
+
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, 5, 6, 9, 20, 90, 400]))).encode()) for k in range(150)]
+    index = decontam.Index(items)
+    assert len(index.parts) > 6
+    for _ in range(200):
+        words = rng.choices(vocabulary, k=rng.choice([1, 4, 30, 300]))
+        for _ in range(rng.randrange(4)):
+            held = rng.choice(items)[1].decode().split()
+            words[rng.randrange(len(words)) : 0] = held[: max(1, len(held) - rng.randrange(3))]
+        text = " ".join(words).encode()
+        want = set()
+        for k, item in items:
+            n, width = len(shingle_set(item)), min(5, len(words_of(item)))
+            shared = len(set(shingle_set(item).tolist()) & set(shingle_set(text, width).tolist())) if len(words) >= width else 0
+            if n and shared >= decontam.needed(n):
+                want.add((k, n, shared))
+        assert set(index.held(word_hashes(words_of(text)))) == want

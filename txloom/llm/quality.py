@@ -119,6 +119,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+#: Pieces of a text whose vectors are held at once, however long it is.
+AT_ONCE = 65_536
+
+
 def pooled(table: np.ndarray, some: list[bytes | None]) -> np.ndarray:
     """Mean and spread of the pieces' vectors of each text."""
     ids, sizes = joined(some)
@@ -126,9 +130,10 @@ def pooled(table: np.ndarray, some: list[bytes | None]) -> np.ndarray:
     ends = np.cumsum(sizes)
     for k, (end, n) in enumerate(zip(ends, sizes, strict=True)):
         if n:
-            v = table[ids[end - n : end]]
-            out[k, :DIMS] = v.mean(axis=0)
-            out[k, DIMS:] = v.std(axis=0)
+            own = [ids[at : min(at + AT_ONCE, end)] for at in range(end - n, end, AT_ONCE)]
+            mean = sum(table[i].sum(axis=0, dtype=np.float64) for i in own) / n
+            out[k, :DIMS] = mean
+            out[k, DIMS:] = np.sqrt(sum(((table[i] - mean) ** 2).sum(axis=0) for i in own) / n)
     return out
 
 
