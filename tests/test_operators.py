@@ -201,6 +201,41 @@ def test_path_counts_are_those_of_the_paths(spark, drop):
         assert sorted(joins.path_counts(e, e, end, drop).collect()) == sorted(want.collect()) != []
 
 
+def brute_pairs(legs, scatter_over, gather_over, drop):
+    links = set(legs)
+    out = {}
+    for a in {a for a, _ in links}:
+        if sum(x == a for x, _ in links) > scatter_over:
+            for x, b in links:
+                for y, c in links:
+                    if x == a and y == b and a != c and not (drop and (a == b or b == c)):
+                        out.setdefault((a, c), set()).add(b)
+    return {k: len(v) for k, v in out.items() if len(v) > gather_over}
+
+
+@pytest.mark.parametrize("drop", [True, False])
+@pytest.mark.parametrize(("scatter", "gather"), [(0, 0), (3, 2), (5, 5)])
+def test_pruned_pairs_are_all_pairs(spark, drop, scatter, gather):
+    import random
+
+    rng = random.Random(scatter)
+    legs = [(rng.randrange(25), rng.randrange(25)) for _ in range(170)]
+    df = spark.createDataFrame([("1", str(a), "1", str(b)) for a, b in legs], joins.EDGE)
+    got = {(int(r.a_account), int(r.c_account)): r.n_between for r in joins.scatter_gather_pairs(df, scatter, gather, drop).collect()}
+    assert got == brute_pairs(legs, scatter, gather, drop) and (got or gather == 5)
+
+
+def test_a_hub_is_joined_in_tiles(spark):
+    """A middle account with most edges of both sides: the same paths, and no join key with more of them than a tile."""
+    legs = [(f"a{k}", "hub") for k in range(60)] + [("hub", f"c{k}") for k in range(45)] + [(f"a{k}", f"b{k % 5}") for k in range(20)] + [(f"b{k}", "c1") for k in range(5)]
+    e = spark.createDataFrame([("1", a, "1", b) for a, b in legs], joins.EDGE)
+    want = sorted(map(tuple, joins.two_hops(e, e).collect()))
+    assert len(want) == 60 * 45 + 20 and sorted(map(tuple, joins.two_hops(e, e, tile=8).collect())) == want
+    met = joins.tiled_hops(e.toDF("a_bank", "a_account", "b_bank", "b_account"), e.toDF("b_bank", "b_account", "c_bank", "c_account"), 8)
+    sizes = [r["count"] for r in met.groupBy("b_account", "rows_at", "cols_at").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 4 * 64
+
+
 def test_usd_without_rate(spark):
     tx = spark.createDataFrame([("2022/09/01 00:00", "1", "A", "1", "B", 0.5, "US Dollar", "Wire"), ("2022/09/01 00:00", "1", "A", "1", "B", 0.5, "Euro", "ACH"), ("2022/09/01 00:00", "1", "A", "1", "B", 0.5, "Doubloon", "ACH")], TX.replace("decimal(18,4)", "double"))
     rates = spark.createDataFrame([(dt.date(2022, 9, 2), "USD", 1.0)], schemas.RATES)
@@ -216,6 +251,56 @@ def test_differences(spark):
     assert joins.differences(a, b.limit(0)).count() == 2
     with pytest.raises(ValueError, match="columns differ"):
         joins.differences(a, b.drop("n"))
+    for buckets in (1, 4096):
+        assert sorted(map(tuple, joins.differences(a, b.limit(1), buckets).select("n", "t", "surplus").collect()), key=str) == sorted(map(tuple, joins.differences(a, b.limit(1)).collect()), key=str)
+    swapped = spark.createDataFrame([("x", None), (None, "x")], "p string, q string")
+    one = spark.createDataFrame([("x", None), ("x", None)], "p string, q string")
+    assert sorted((r.p or "", r.surplus) for r in joins.differences(swapped, one).collect()) == [("", 1), ("x", -1)]
+
+
+def test_comparison_by_client_shuffles_no_rows(spark):
+    rows_of = lambda rows: spark.createDataFrame(rows, "client_id string, n int, t string")
+    a = rows_of([("same", 1, "x"), ("same", 1, "x"), ("same", 2, None), ("twice", 1, "x"), ("twice", 1, "x"), ("left", 1, "x"), (None, 1, "x"), ("nulls", None, "x")])
+    b = rows_of([("same", 2, None), ("same", 1, "x"), ("same", 1, "x"), ("twice", 1, "x"), ("twice", 2, "x"), ("right", 1, "x"), (None, 1, "x"), ("nulls", 1, None)])
+    got = joins.compared(a, b, "client_id")
+    assert {(r.client_id, r.n_a, r.n_b, r.equal) for r in got.collect()} == {("same", 3, 3, True), ("twice", 2, 2, False), ("left", 1, 0, False), ("right", 0, 1, False), (None, 1, 1, True), ("nulls", 1, 1, False)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert len(exchanged) == 2 and all("[client_id" in line for line in exchanged)
+
+
+def test_one_client_is_written_again(spark):
+    import pathlib
+
+    path = scratch.folder(spark, "clients")
+    at = pathlib.Path(path.removeprefix("file://"))
+    files = lambda: {p.relative_to(at): p.stat().st_mtime_ns for p in at.rglob("part-*")}
+    sinks.write_results(spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "client_id string, n int"), path)
+    before = files()
+    again = spark.createDataFrame([("b", 9)], "client_id string, n int")
+    sinks.write_results(again, path)
+    sinks.write_client(again, path, "c d")
+    after = files()
+    assert {k: v for k, v in after.items() if "client_id=a" in str(k)} == {k: v for k, v in before.items() if "client_id=a" in str(k)} != {}
+    read = lambda: sorted((r.client_id, r.n) for r in spark.read.option("header", True).schema("n int, client_id string").csv(path).collect())
+    assert read() == [("a", 1), ("b", 9)]
+    assert [r.value for r in spark.read.text(f"{path}/client_id=c d").collect()] == ["n"]
+
+
+@pytest.mark.parametrize("limits", ["2022/09/02,2022/09/03", "2022/09/02 12:00,2022/09/03 11:00", "2022/08,2022/09/02", "2022/09/03,2022/09", ",2022/09/02"])
+def test_a_period_reads_its_own_folders(spark, limits):
+    times = [f"2022/{m:02}/{d:02} {h:02}:00" for m in (8, 9) for d in (1, 2, 3, 4) for h in (0, 11, 12, 23)]
+    t = spark.createDataFrame([(x, "A", str(k)) for k, x in enumerate(times)], "ts_text string, from_account string, to_account string")
+    want = sorted(r.ts_text for r in predicates.keep(t, ("entre", "ts_text", limits)).collect())
+    for letters in (7, 10):
+        path = scratch.folder(spark, "periods")
+        sinks.write_by_period(t, path, letters)
+        found = readers.read_period(spark, path, limits)
+        assert sorted(r.ts_text for r in found.collect()) == want
+        if letters == 10 and limits.startswith("2022/09/02,"):
+            assert len({f.split("period=")[1][:10] for f in found.inputFiles()}) >= 2
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [" in plan and "period" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_ranks_of_wide_tables(spark):

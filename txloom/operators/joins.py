@@ -6,7 +6,9 @@ broadcasts them below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txloom import schemas
@@ -94,23 +96,65 @@ def path_counts(first: DataFrame, second: DataFrame, end: str, drop_self_loops:
     return counts.where("n > 0")
 
 
-def two_hops(first: DataFrame, second: DataFrame, drop_self_loops: bool = True) -> DataFrame:
+#: Edges on each side of a middle account that are joined in one piece: a piece has at most the square of it in paths.
+TILE = 4096
+
+
+def _tiled(edges: DataFrame, heavy: DataFrame, own: str, other: str) -> DataFrame:
+    """Edges with the number of their tile: dealt over the tiles of their own side, copied to those of the other."""
+    known = edges.join(heavy, ["b_bank", "b_account"], "left").withColumns({x: F.coalesce(x, F.lit(1)) for x in (own, other)})
+    place = F.pmod(F.xxhash64(*(c for c in edges.columns if not c.startswith("b_"))), F.col(own)).cast("int")
+    return known.withColumn(f"{own}_at", place).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
+
+
+def tiled_hops(first: DataFrame, second: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs of edges (a, b) and (b, c) that meet in b, with the tile that each pair is made in.
+
+    A middle account with more than ``tile`` edges on a side is split by degree into tiles of
+    about ``tile`` by ``tile`` edges, each a join key of its own, so that no task has a hub
+    alone. Other accounts are one tile. Few accounts are that heavy, so their table is small.
+    """
+    ins = first.groupBy("b_bank", "b_account").agg(F.count("*").alias("n_in"))
+    outs = second.groupBy("b_bank", "b_account").agg(F.count("*").alias("n_out"))
+    cuts = lambda n: F.ceil(F.col(n) / tile).cast("int")
+    heavy = ins.join(outs, ["b_bank", "b_account"]).where((F.col("n_in") > tile) | (F.col("n_out") > tile)).select("b_bank", "b_account", cuts("n_in").alias("rows"), cuts("n_out").alias("cols"))
+    return _tiled(first, heavy, "rows", "cols").join(_tiled(second, heavy, "cols", "rows"), ["b_bank", "b_account", "rows_at", "cols_at"])
+
+
+def two_hops(first: DataFrame, second: DataFrame, drop_self_loops: bool = True, tile: int = TILE) -> DataFrame:
     """Paths A-B-C of distinct edges; A=C always goes, A=B and B=C too with ``drop_self_loops``.
 
     Hubs are the danger: self-loops go before the join, both sides are distinct, and
-    adaptive execution splits skewed B.
+    accounts with many edges are joined in tiles.
     """
     if drop_self_loops:
         first, second = _no_loops(first), _no_loops(second)
     a = first.toDF("a_bank", "a_account", "b_bank", "b_account")
     c = second.toDF("b_bank", "b_account", "c_bank", "c_account")
-    return a.join(c, ["b_bank", "b_account"]).where("NOT (a_bank = c_bank AND a_account = c_account)").select("a_bank", "a_account", "b_bank", "b_account", "c_bank", "c_account")
+    return tiled_hops(a, c, tile).where("NOT (a_bank = c_bank AND a_account = c_account)").select("a_bank", "a_account", "b_bank", "b_account", "c_bank", "c_account")
+
+
+def gathering(links: DataFrame, over: int) -> DataFrame:
+    """Edges whose receiver has more than ``over`` senders: only those can gather from as many."""
+    receivers = links.groupBy("to_bank", "to_account").agg(F.count("*").alias("n")).where(F.col("n") > over)
+    return links.join(receivers, ["to_bank", "to_account"], "left_semi").select(*EDGE)
 
 
 def scatter_gather_pairs(rows: DataFrame, scatter_over: int = 5, gather_over: int = 5, drop_self_loops: bool = True, normalise=None) -> DataFrame:
-    """(A, C, n): accounts joined by more than ``gather_over`` intermediaries, A sending to more than ``scatter_over``."""
+    """(A, C, n): accounts joined by more than ``gather_over`` intermediaries, A sending to more than ``scatter_over``.
+
+    Edges that can't be on such a path go before paths are made: second legs to receivers
+    with too few senders, then first legs to accounts without a second leg, then senders
+    with too few of those left.
+    """
     links = edges(rows, normalise)
-    paths = two_hops(scatter_edges(links, scatter_over), links, drop_self_loops)
+    first = scatter_edges(links, scatter_over)
+    if drop_self_loops:
+        first, links = _no_loops(first), _no_loops(links)
+    second = gathering(links, gather_over)
+    middles = second.select(F.col("from_bank").alias("to_bank"), F.col("from_account").alias("to_account")).distinct()
+    first = scatter_edges(first.join(middles, ["to_bank", "to_account"], "left_semi").select(*EDGE), gather_over)
+    paths = two_hops(first.select(*EDGE), second, drop_self_loops)
     # a path occurs once, as its edges are distinct: the count is that of distinct B
     return paths.groupBy("a_bank", "a_account", "c_bank", "c_account").agg(F.count("*").alias("n_between")).where(F.col("n_between") > gather_over)
 
@@ -145,21 +189,56 @@ def once_by_id(rows: DataFrame, *ids: str, order: list[str]) -> DataFrame:
     return first.unionByName(rows.where(F.col(last).isNull()))
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows with other multiplicities on the two sides, whatever the order: none if the tables are equal."""
+def row_hash(columns: list[str], seed: int) -> Column:
+    """64 bits of a row. Nulls leave a hash as it is, so their places are hashed too."""
+    return F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in columns), F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in columns)))
+
+
+def fingerprints(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """(by, n, x, y): for each group its number of rows and two sums of 64-bit row hashes.
+
+    Sums don't depend on the order of rows, and they combine before the shuffle, so no row is
+    shuffled. Groups with the same three numbers have the same rows, but for odds of 2^-128.
+    """
+    columns = sorted(rows.columns)
+    # sums as decimals: those of 64-bit numbers overflow
+    total = lambda seed: F.sum(row_hash(columns, seed).cast("decimal(20,0)"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y"))
+
+
+#: Buckets of rows that are compared by fingerprint before rows are.
+BUCKETS = 4096
+
+
+def differences(a: DataFrame, b: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with other multiplicities on the two sides, whatever the order: none if the tables are equal.
+
+    Both sides are fingerprinted by buckets of their rows' hashes; only the rows of
+    buckets that differ are shuffled and compared, so tables that are nearly equal cost a scan each.
+    """
     columns = sorted(a.columns)
     if columns != sorted(b.columns):
         raise ValueError(f"columns differ: {columns} and {sorted(b.columns)}")
-    signed = a.select(*columns, F.lit(1).alias("_n")).unionByName(b.select(*columns, F.lit(-1).alias("_n")))
-    return signed.groupBy(*columns).agg(F.sum("_n").alias("surplus")).where("surplus <> 0")
+    bucket = F.pmod(row_hash(columns, 3), F.lit(buckets))
+    ours, theirs = (fingerprints(t.select(*(F.col(f"`{c}`") for c in columns)), bucket.alias("bucket_of_row")) for t in (a, b))
+    same = ours.join(theirs.toDF("bucket_of_row", "n2", "x2", "y2"), "bucket_of_row", "full").where(F.expr("NOT (n <=> n2 AND x <=> x2 AND y <=> y2)")).select("bucket_of_row")
+    # a row for each bucket at most
+    suspect = lambda t: t.select(*(F.col(f"`{c}`") for c in columns), bucket.alias("bucket_of_row")).join(F.broadcast(same), "bucket_of_row", "left_semi").drop("bucket_of_row")
+    signed = suspect(a).withColumn("_n", F.lit(1)).unionByName(suspect(b).withColumn("_n", F.lit(-1)))
+    return signed.groupBy(*(f"`{c}`" for c in columns)).agg(F.sum("_n").alias("surplus")).where("surplus <> 0")
 
 
 def compared(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """A row for each key (client, query): rows on either side, and whether they are the same rows."""
+    """A row for each key (client, query): rows on either side, and whether they are the same rows, by fingerprint."""
     columns = sorted(a.columns)
-    sides = a.select(*columns, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*columns, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
-    each = sides.groupBy(*columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    return each.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.every(F.col("_a") == F.col("_b")).alias("equal"))
+    if columns != sorted(b.columns):
+        raise ValueError(f"columns differ: {columns} and {sorted(b.columns)}")
+    ours, theirs = (fingerprints(t, *keys) for t in (a, b))
+    theirs = theirs.select(*(F.col(k).alias(f"{k}_2") for k in keys), F.col("n").alias("n2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    on = reduce(lambda p, q: p & q, (ours[k].eqNullSafe(theirs[f"{k}_2"]) for k in keys))
+    both = ours.join(theirs, on, "full")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return both.select(*(F.coalesce(k, f"{k}_2").alias(k) for k in keys), n("n").alias("n_a"), n("n2").alias("n_b"), F.expr("n <=> n2 AND x <=> x2 AND y <=> y2").alias("equal"))
 
 
 def silent(events: DataFrame, roster: DataFrame, entity: str, as_of: str, timeout_s: int) -> DataFrame:

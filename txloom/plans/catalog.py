@@ -214,6 +214,14 @@ for _name, (_rules, _where) in FILTERS.items():
     query(_name, over("tx", f"SELECT ts_text, from_account, to_account, {AMOUNT} FROM tx WHERE {_where}"))(lambda s, d, rules=_rules: predicates.keep(tx(s, d), *rules).select("ts_text", "from_account", "to_account", "amount_paid"))
 
 
+@query("F8_period", over("tx", f"SELECT ts_text, from_account, to_account, {AMOUNT} FROM tx WHERE {FILTERS['F8'][1]}"))
+def f8_period(s, d):
+    """The period filter on a table with a folder for each month."""
+    path = scratch.folder(s, "f8")
+    sinks.write_by_period(tx(s, d), path, 7)
+    return flagship.dollars(readers.read_period(s, path, YEAR)).select("ts_text", "from_account", "to_account", "amount_paid")
+
+
 @query("F6", over("tx", "SELECT count(*) AS count FROM tx WHERE false"))
 def f6(s, d):
     return aggregates.total_count(predicates.keep(tx(s, d), ("eq", "no_such_field", "1")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txloom import schemas
+from txloom.operators import predicates
 
 #: Payment formats by the first digit of an order's priority, and currencies by return flag.
 FORMATS = {"1": "Wire", "2": "ACH", "3": "Cheque", "4": "Credit Card", "5": "Cash"}
@@ -26,6 +27,18 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.TRANSACTIONS)
 
 
+def read_period(spark: SparkSession, path: str, limits: str) -> DataFrame:
+    """Transfers of ``low,high`` (as the rule ``between``) from a table by period: other periods' folders are not read.
+
+    Cutting texts keeps their order, so the limits cut to a period's letters bound the folders.
+    """
+    rows = spark.read.parquet(path)
+    low, high = (x.strip().replace("/", "-") for x in limits.split(","))
+    period, n = F.col("period").cast("string"), min(len(low), len(high))
+    folders = rows.where((period >= F.substring(F.lit(low), F.lit(1), F.length(period))) & (F.substring(period, 1, n) <= high[:n])) if n else rows
+    return predicates.keep(folders, ("between", "ts_text", limits)).drop("period")
+
+
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.ACCOUNTS)
 
