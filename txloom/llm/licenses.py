@@ -124,11 +124,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.select("row", "doc_id", "paragraph", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
 
-def _runs(n: int):
-    """The n-grams of the column ``words``; every word is read a fixed number of times."""
-    out = F.col("words")
+def _runs(n: int) -> Column:
+    """The n-grams of the column ``familiar``, where strange words are null: those without one. Every word is read a fixed number of times."""
+    out = F.col("familiar")
     for k in range(1, n):
-        out = F.zip_with(out, F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        out = F.zip_with(out, F.slice("familiar", k + 1, F.greatest(F.size("familiar") - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.filter(out, lambda x: x.isNotNull())  # the shorter side is filled with nulls
 
 
@@ -203,8 +203,11 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     mine = F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(_runs(3))
     # no longer than the notices, however long the paragraph
     shared = F.array_distinct(F.filter(mine, lambda x: x.isin(known)))
-    found = _known(F.array_distinct(F.concat("words", _runs(2))), sorted(model.weights))
-    described = paragraphs(docs).select("doc_id", "paragraph", shared.alias("shared"), F.exists("words", lambda w: w.isin(*ANCHORS)).alias("anchored"), found.alias("found"))
+    found = _known(F.array_distinct(F.concat(_runs(1), _runs(2))), sorted(model.weights))
+    # known grams are made of these words, so longer ones are made of nothing else
+    familiar = sorted({w for g in (*model.weights, *known) for w in g.split(" ")})
+    read = paragraphs(docs).withColumn("familiar", F.transform("words", lambda w: F.when(w.isin(familiar), w)))
+    described = read.select("doc_id", "paragraph", shared.alias("shared"), F.exists("words", lambda w: w.isin(*ANCHORS)).alias("anchored"), found.alias("found"))
     rows = [model.weights[g] for g in sorted(model.weights)]
     summed = [_summed(model.bias[c], [r[c] for r in rows]) for c in range(k)]
     scored = described.withColumn("z", F.array(*summed)).withColumn("top", F.array_max("z"))
