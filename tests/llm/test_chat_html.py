@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -239,3 +240,54 @@ def test_stages_by_brute_force(spark, sf_dir, stages):
     whole = {r.doc_id: encoder(default_tokenizer()).ids((r.text or "").encode()) + bytes(4) for r in rows[4]}
     for r in stages[5].collect():
         assert zlib.crc32(whole[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="x"">Hello</p><p>World</p></article>', "Hello World"),
+        ("<article><p data-x=it's>Hello</p><p>World's end</p></article>", "Hello World's end"),
+        ("<nav><ul><li>a</ul><article><p>Body</p></article>", "Body"),
+        ('<div class="ad">buy<article><p>Body</p></article><p>after', "Body"),
+        ("<aside><article>related</article></aside><main><p>Body</p></main>", "Body"),
+        ('<article><div class="social-science">One</div><section id="comments-policy-study">two</section><h1 class="header">three</h1></article>', "One two three"),
+        ('<article>Body<div class="ad-slot-2">x</div><ul class="share-buttons"><li>y</ul><div id="site_header">z</div></article>', "Body"),
+        ('<article>Body</article><section id="comments"><article>first!</article></section>', "Body"),
+        ('<article class = "a>b" title=\'c>d\'>Body <a href="?a=1&b=\'2\'">link</a></article>', "Body link"),
+    ],
+)
+def test_markup_as_it_comes(page, text):
+    assert html_extract.main_text(html_extract.blocks(page), [], False) == text
+
+
+def test_alignment_in_halves(monkeypatch):
+    """Halving finds as long a common subsequence, and it is one; equal ends and strange lines cost nothing."""
+    rng = random.Random(9)
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for bits in (1, 30, 1 << 23):
+        monkeypatch.setattr(html_extract, "BITS", bits)
+        for _ in range(150):
+            a, b = ([rng.randrange(9) for _ in range(rng.randrange(25))] for _ in range(2))
+            got = html_extract.common(a, b)
+            rest = iter(b)
+            assert got == sorted(set(got)) and all(a[k] in rest for k in got) and len(got) == longest(a, b)
+
+
+def test_many_lines_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    a, b = ([rng.randrange(20_000) for _ in range(30_000)] for _ in range(2))
+    tracemalloc.start()
+    got = html_extract.common(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rest = iter(b)
+    assert all(a[k] in rest for k in got) and len(got) > 100 and peak < 150_000_000

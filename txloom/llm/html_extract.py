@@ -11,6 +11,10 @@ them are decided by the differencing alone; beside an ``article`` they need a pa
 nothing else tells template from text there. A page that would be left empty is a copy
 of its pair and keeps its lines.
 
+Mark-up is read as it comes: a quote opens a value only behind an equals sign, an
+``article`` or ``main`` ends what was left open before it, and a class names what is not main text
+only as a whole (``site-header``, not ``social-science``).
+
 Defined results: null html is empty; null or odd URLs belong to the host ""; repeated
 rows give equal rows, whatever their ids; a null ``page_id`` is passed on; pages equally
 near to both neighbours take the one before; other columns are ignored; an empty table
@@ -24,6 +28,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -40,13 +45,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words in class, id or role that mark what is not main text.
 NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising banner sponsored sponsor promo comments comment discussion disqus respond replies sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead notice notices cookie cookies consent gdpr newsletter subscribe subscription signup popup modal share sharing social related recommended login search complementary contentinfo".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Words that may stand beside one of those in a name and change nothing: ``site-header``, ``ad-slot-2``.
+NEUTRAL = frozenset("site page main top bottom left right center item items list box bar slot area section wrapper wrap container block button buttons link links primary secondary global widget inner outer content toggle panel row col group icon icons head body js".split())
+#: Elements that are what they are, whatever they are called.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# A quote opens a value only behind "="; elsewhere it is a character.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)>", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def _names(word: str) -> bool:
+    """Whether a whole name marks what is not main text: all of its parts are of NOT_MAIN, neutral or numbers, and one of NOT_MAIN; single letters are neutral."""
+    parts = [p for p in re.split(r"[_-]+", word) if p]
+    return any(p in NOT_MAIN for p in parts) and all(p in NOT_MAIN or p in NEUTRAL or len(p) == 1 or p[:1].isdigit() for p in parts)
+
+
 def _not_main(attrs: str) -> bool:
-    return any(w in NOT_MAIN for m in ATTRIBUTE.finditer(attrs) for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()))
+    return any(_names(w) for m in ATTRIBUTE.finditer(attrs) for w in (m[2] or m[3] or m[4] or "").lower().split())
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -57,6 +73,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     inside = 0  # open article or main elements
     dropped: str | None = None  # the element that is being dropped, and its depth
     depth = 0
+    seen = False  # whether an article or main element came that was not dropped
+    ends: dict[str, int] = {}  # the last end of an element's name
+
+    def closed_later(name: str) -> bool:
+        if name not in ends:
+            ends[name] = max((m.start() for m in re.finditer(rf"</{name}\b", page, re.I)), default=-1)
+        return ends[name] > at
 
     def close() -> None:
         line = SPACE.sub(" ", refs.unescape("".join(text))).strip()
@@ -84,6 +107,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = found.end() if found else len(page)
             continue
+        if dropped and name in MAIN and not ending and not seen and not _not_main(attrs) and not (dropped in DROPPED and closed_later(dropped)):
+            dropped, depth = None, 0  # what was left open before the article does not take it along
         if dropped:
             if name == dropped:
                 depth += -1 if ending else not alone
@@ -91,17 +116,70 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 dropped = None
             elif dropped == "p" and name == "p" and not ending:  # a paragraph ends where the next begins
                 depth, dropped = 0, None
-        if not dropped and not ending and not alone and name not in ("html", "body", *MAIN) and (name in DROPPED or _not_main(attrs)):
+        if not dropped and not ending and not alone and name not in ("html", "body", *MAIN) and (name in DROPPED or (name not in HEADINGS and _not_main(attrs))):
             dropped, depth = name, 1
         elif not dropped and name in MAIN:
-            inside = max(0, inside + (-1 if ending else 1))
+            inside, seen = max(0, inside + (-1 if ending else 1)), True
         kind = 0 if dropped else 2 if inside else 1
     close()
     return out
 
 
+#: Bits that an alignment may hold; above them it is cut in halves.
+BITS = 1 << 23
+
+
+def _row(a: list, b: list) -> int:
+    """The last row of bit vectors: bit j is unset where b[j] adds one to the longest common subsequence of ``a`` and b[: j + 1]."""
+    where: dict = defaultdict(int)
+    for j, x in enumerate(b):
+        where[x] |= 1 << j
+    v = full = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with b[:0], b[:1], ... b."""
+    bits = np.unpackbits(np.frombuffer(_row(a, b).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def common(a: list, b: list) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``, by bit vectors over ``b``."""
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Equal ends are taken off, and what neither side knows; the rest is aligned by bit vectors
+    over ``b``, or where those are many, by halves that meet where the sum of lengths is greatest,
+    so memory grows with the lines and not with their product.
+    """
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    known = set(a[start : len(a) - end]) & set(b[start : len(b) - end])
+    places = [i for i in range(start, len(a) - end) if a[i] in known]
+    theirs = [x for x in b[start : len(b) - end] if x in known]
+    out, todo = [], [(0, len(places), 0, len(theirs))]
+    mine = [a[i] for i in places]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        if (k - i) * (m - j) <= BITS or k - i == 1:
+            out += [places[i + x] for x in _aligned(mine[i:k], theirs[j:m])]
+            continue
+        mid = (i + k) // 2
+        cut = j + int(np.argmax(_lengths(mine[i:mid], theirs[j:m]) + _lengths(mine[mid:k][::-1], theirs[j:m][::-1])[::-1]))
+        todo += [(i, mid, j, cut), (mid, k, cut, m)]
+    return [*range(start), *sorted(out), *range(len(a) - end, len(a))]
+
+
+def _aligned(a: list, b: list) -> list[int]:
+    """Places in ``a``, with a row of bits for each of its lines."""
     where: dict = defaultdict(int)
     for j, x in enumerate(b):
         where[x] |= 1 << j
