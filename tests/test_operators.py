@@ -157,6 +157,13 @@ def test_counts(spark):
     assert [r.record for r in readers.envelope_rows(text).collect()] == [{"a": "1", "b": None}, {"a": "2", "b": "3"}]
 
 
+def test_bad_envelopes(spark):
+    lines = ['{"client_id":"c","request_id":"r","batches":[{"header":{"schema":["a"]},"payload":[["1"]]}]}', "", "  ", "{", "text", '{"client_id":"c","request_id":"r"}', '{"client_id":"c","batches":[{"header":{},"payload":[["1"]]},{"header":{"schema":["a"]},"payload":[["2"]]}]}', '{"client_id":"c","batches":[]}']
+    text = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert sorted((r.value[:12], r.reason) for r in readers.bad_envelopes(text).collect()) == sorted([("{", "no envelope"), ("text", "no envelope"), (lines[5][:12], "no batches"), (lines[6][:12], "no column names")])
+    assert [r.record["a"] for r in readers.envelope_rows(text).collect() if r.record] == ["1", "2"]
+
+
 def test_once_by_id_keeps_null_ids(spark):
     df = spark.createDataFrame([(1, "c1", "r1"), (2, "c1", "r1"), (3, "c2", "r1"), (4, "c1", None), (5, "c1", None)], "n int, client_id string, request_id string")
     assert sorted(r.n for r in joins.once_by_id(df, "client_id", "request_id", order=["n"]).collect()) == [1, 3, 4, 5]

@@ -143,6 +143,22 @@ def s7(s, d):
     return r.select("client_id", F.col("record")["event_id"].alias("event_id"), F.col("record")["event_type"].alias("event_type"))
 
 
+@query("S7_stream", over("rq", "SELECT client_id, event_id, event_type FROM (SELECT client_id, CAST(event_id AS VARCHAR) AS event_id, event_type FROM rq UNION ALL SELECT 'bad', 'no envelope', CAST(count(*) AS VARCHAR) FROM events)"))
+def s7_stream(s, d):
+    """Envelope files as a stream with a stop half-way, bad lines among them: rows and bad lines leave on channels of their own."""
+    good = envelopes(s, d)
+    bad = readers.read_table(s, d, "events").select(F.concat(F.lit('{"client_id": "c'), F.col("event_id").cast("string")).alias("value"))
+    lines = good.unionByName(bad).withColumn("event_id", F.crc32("value"))
+    path, places = scratch.folder(s, "s7"), {k: (scratch.folder(s, f"s7-{k}"), scratch.folder(s, f"s7-{k}-table")) for k in ("rows", "bad")}
+    for half in (0, 1):
+        lines.where(F.col("event_id") % 2 == half).select("value").write.mode("append").text(path)
+        stream = readers.envelope_lines(s, path)
+        rows_ = jobs.run_to_end(readers.envelope_rows(stream), "append", "s7", *places["rows"])
+        wrong = jobs.run_to_end(readers.bad_envelopes(stream), "append", "s7-bad", *places["bad"])
+    counted = wrong.groupBy("reason").agg(F.count("*").cast("string").alias("n")).select(F.lit("bad").alias("client_id"), F.col("reason").alias("event_id"), F.col("n").alias("event_type"))
+    return rows_.select("client_id", F.col("record")["event_id"].alias("event_id"), F.col("record")["event_type"].alias("event_type")).unionByName(counted)
+
+
 @query("S8", over("rt", "SELECT strftime(rate_date, '%Y-%m-%d') AS rate_date, iso, rate FROM rt"))
 def s8(s, d):
     path = scratch.folder(s, "s8")

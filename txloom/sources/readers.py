@@ -64,6 +64,22 @@ def envelope_rows(envelopes: DataFrame) -> DataFrame:
     return row.select("client_id", "request_id", F.map_from_arrays("names", padded).alias("record"))
 
 
+def envelope_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of envelope files as a stream: files that have been read are in the checkpoint, so a restart reads new ones only."""
+    return spark.readStream.text(path)
+
+
+def bad_envelopes(envelopes: DataFrame) -> DataFrame:
+    """The lines that ``envelope_rows`` can't take, with the reason: no JSON, no batches, or a batch without its column names.
+
+    Blank lines are none; batches beside a bad one in the same line still give their rows.
+    """
+    e = F.from_json("value", schemas.ENVELOPE)
+    reason = F.when(e.isNull() | F.coalesce(e["client_id"], e["request_id"], e["batches"].cast("string")).isNull(), "no envelope").when(e["batches"].isNull(), "no batches")
+    reason = reason.when(F.exists(e["batches"], lambda b: b["header"]["schema"].isNull() & (F.size(b["payload"]) > 0)), "no column names")
+    return envelopes.where(F.trim("value") != "").select("value", reason.alias("reason")).where("reason is not null")
+
+
 def _choice(column, table: dict[str, str]):
     out = None
     for key, value in table.items():
