@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from txloom.llm import dialogue
@@ -101,6 +102,15 @@ def test_whole_table(spark, sf_dir):
     assert got == plain([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
 
 
+def test_sql():
+    rows = [r for r in odd_rows(4, [0, 1, 2, 5, 12], [None, *range(40)]) if r[2] not in ("", None)]
+    con = duckdb.connect()
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    found = con.sql(dialogue.SQL)
+    assert {r[0]: dict(zip(found.columns[1:], r[1:], strict=True)) for r in found.fetchall()} == plain(rows)
+
+
 def test_one_conversation_over_many_tasks(spark):
     """A conversation far longer than a block, most of whose rows are one repeated turn."""
     rows = [(7, k, ("user", "assistant")[k % 2], f"turn {k}." if k % 3 else "again.") for k in range(3000)]

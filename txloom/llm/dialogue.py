@@ -395,3 +395,29 @@ def summary(original: DataFrame, turns: DataFrame, ws: Workspace, block: int = B
     joined = every.join(found, CONV, "left").join(sums, CONV, "left")
     numbers = (F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
     return joined.select(F.when(F.col("named"), F.col("conv")).alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(NOTHING)).alias("repaired_sha256"))
+
+
+#: ``summary`` of the damaged table in SQL: a search that carries every state's whole audit from row to row.
+SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM m WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair, max(i) OVER (PARTITION BY conv_id) AS n FROM o),
+nx AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) t(s, t)),
+w AS (
+SELECT conv_id, n, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS out FROM (SELECT DISTINCT conv_id, n FROM f)
+UNION ALL
+SELECT conv_id, n, i, s, cost, audit, out FROM (
+SELECT *, row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) AS k FROM (
+SELECT b.conv_id, b.n, b.i + 1 AS i, CASE e.e WHEN 'D' THEN b.s WHEN 'R' THEN nx.t ELSE CASE left(f.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS s,
+b.cost + CASE e.e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e.e <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END AS cost, b.audit || e.e AS audit,
+CASE e.e WHEN 'D' THEN b.out WHEN 'R' THEN list_append(b.out, CASE nx.t WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || f.text) ELSE list_append(b.out, f.role || ':' || f.text) END AS out
+FROM (SELECT conv_id, n, i, s, cost, audit, out FROM w UNION ALL SELECT conv_id, n, i, nx.t, cost + 2, audit || 'I', list_append(out, CASE nx.t WHEN 2 THEN 'user:' ELSE 'assistant:' END) FROM w JOIN nx ON nx.s = w.s) b
+JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN nx ON nx.s = b.s CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(e)
+WHERE e.e = 'D' OR (coalesce(f.fault, '') NOT IN ('blank', 'duplicate') AND (e.e = 'R' OR (left(f.role, 1) = 's' AND b.s = 0) OR (left(f.role, 1) = 'u' AND nx.t = 2) OR (left(f.role, 1) = 'a' AND nx.t = 3))))) WHERE k = 1),
+z AS (SELECT conv_id, cost + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost, audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit, CASE s WHEN 1 THEN out || ['user:', 'assistant:'] WHEN 2 THEN out || ['assistant:'] ELSE out END AS out FROM w WHERE i = n),
+r AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

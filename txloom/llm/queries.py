@@ -98,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.SQL, "op12_source_divergence": divergence.SQL}
+    return {"op3_decontamination": decontam.SQL, "op11_dialogue_repair": dialogue.SQL, "op12_source_divergence": divergence.SQL}
