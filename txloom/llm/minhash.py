@@ -246,8 +246,8 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between components of large buckets, confirmed."""
-    sized = rows.join(sets.select("fp", F.length("items").alias("size")), "fp")
-    by_comp = sized.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    # an item of a set is eight bytes
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.col("n_items") * 8).alias("s"))
     # a tile is bounded by its rows and by the bytes of their sets
     cut = lambda n, rows_, s: F.ceil(F.greatest(n / rows_, s / TILE_BYTES)).cast("int")
     whole = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("n"), F.sum("s").alias("s"))
@@ -286,12 +286,12 @@ def _grouped(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n_shingles, label) for each row, a null label for empty sets; and (label, head), the least row of each label."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = ws.save(docs.mapInArrow(_signed, "doc_id long, digest binary, n_shingles long, fp binary, sig binary"), "signed")
-    classes = signed.where("fp is not null").groupBy("fp").agg(F.first("sig").alias("sig"), F.min(_order()).alias("one"))
+    classes = signed.where("fp is not null").groupBy("fp").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_items"), F.min(_order()).alias("one"))
     keys = classes.select("fp", "sig").mapInArrow(_keyed, "key long, slot byte, fp binary")
     first = keys.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead <> last").drop("last")
     shared = ws.save(keys.join(first, "key"), "shared")
     known = ws.save(classes.join(shared.select("fp").distinct(), "fp", "left_semi"), "known")
-    sigs = known.select("fp", "sig")
+    sigs = known.select("fp", "sig", "n_items")
     sets = _rows_among(docs, known.select("one.doc_id", "one.digest"), "left_semi").mapInArrow(_sets, "fp binary, items binary")
     sets = ws.save(sets.groupBy("fp").agg(F.first("items").alias("items")), "sets")
 
