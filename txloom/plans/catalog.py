@@ -148,7 +148,8 @@ def s7_stream(s, d):
     """Envelope files as a stream with a stop half-way, bad lines among them: rows and bad lines leave on channels of their own."""
     good = envelopes(s, d)
     bad = readers.read_table(s, d, "events").select(F.concat(F.lit('{"client_id": "c'), F.col("event_id").cast("string")).alias("value"))
-    lines = good.unionByName(bad).withColumn("event_id", F.crc32("value"))
+    # written once: a line's texts come in the order that the shuffle brings, so a line made twice may fall to both halves or to none
+    lines = scratch.saved(good.unionByName(bad), "s7-lines").withColumn("event_id", F.crc32("value"))
     path, places = scratch.folder(s, "s7"), {k: (scratch.folder(s, f"s7-{k}"), scratch.folder(s, f"s7-{k}-table")) for k in ("rows", "bad")}
     for half in (0, 1):
         lines.where(F.col("event_id") % 2 == half).select("value").write.mode("append").text(path)
