@@ -57,6 +57,20 @@ def test_silence_by_event_time(spark):
     assert out.count() == len(want)
 
 
+def test_silent_entities_share_the_rows_of_the_state(spark):
+    """The state has a row for each bucket, not for each entity; null entities and whole numbers too long for doubles are entities like others."""
+    base = 2**60
+    roster = spark.createDataFrame([(base + k, at(0)) for k in range(300)], "e bigint, since timestamp")
+    run, checkpoint = runner(spark, "e bigint, ts timestamp", "shared", lambda s: jobs.silent_alerts(s, "e", 100, "0 seconds", roster, buckets=8))
+    out = run([(base + 1, at(50)), (None, at(60)), (base + 999, at(250))])
+    end = 250
+    since = {base + k: (0, False) for k in range(300)} | {base + 1: (50, True), None: (60, True)}
+    want = sorted(str((e, a, reported, k)) for e, (a, reported) in since.items() for k in (1, 2) if a + k * 100 < end)
+    zero = int(at(0).replace(tzinfo=dt.UTC).timestamp())
+    assert sorted(str((r.e, r.from_s - zero, r.reported, r.alert)) for r in out.collect()) == want
+    assert n_state(spark, checkpoint, "last") <= 8
+
+
 def test_groups_leave_when_they_pass(spark):
     run, checkpoint = runner(spark, "g string, v int", "distinct", lambda s: jobs.distinct_values(s, ["g"], ["v"], 3))
     assert run([("a", 1), ("a", 2), ("a", 2), ("b", 1), (None, None)]).count() == 0

@@ -195,14 +195,23 @@ def windowed_counts(events: DataFrame, width: str, delay: str) -> DataFrame:
     return run_to_end(counts.select(F.col("w.start").alias("start"), "event_type", "n"), "complete", "windows")
 
 
-def silent_alerts(events: DataFrame, entity: str, timeout_s: int, delay: str = "1 hour", roster: DataFrame | None = None) -> DataFrame:
+#: Keys of the state of silent entities; a checkpoint holds for one number of them.
+BUCKETS = 4096
+
+
+def silent_alerts(events: DataFrame, entity: str, timeout_s: int, delay: str = "1 hour", roster: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A streaming frame of (entity, from_s, reported, alert): the entity was silent for ``alert`` timeouts since the second ``from_s``.
 
     Time is event time: an alert leaves when the watermark has passed it, and restarts don't
     change what leaves. The clock restarts with each event and each alert. ``roster`` (entity, since)
     names entities that are watched from ``since`` on though they never report; their alerts have ``reported`` false. Needs ``ts``.
     """
+    schemas.free(events.select(entity), "bucket")
     kind = events.schema[entity].dataType.simpleString()
-    known = roster.select(entity, F.unix_timestamp("since").alias("since")).groupBy(entity) if roster is not None else None
-    timed = events.withWatermark("ts", delay).select(entity, "ts", F.unix_timestamp("ts").alias("at"))
-    return timed.groupBy(entity).transformWithStateInPandas(state.Silence(entity, timeout_s), f"{entity} {kind}, from_s long, reported boolean, alert long", "append", "eventTime", known)
+    # entities as texts: pandas has no whole numbers with nulls
+    text = F.col(entity).cast("string").alias(entity)
+    bucket = F.pmod(F.xxhash64(F.col(entity).cast("string")), F.lit(buckets)).alias("bucket")
+    known = roster.select(bucket, text, F.unix_timestamp("since").alias("since")).groupBy("bucket") if roster is not None else None
+    timed = events.withWatermark("ts", delay).select(bucket, text, "ts", F.unix_timestamp("ts").alias("at"))
+    found = timed.groupBy("bucket").transformWithStateInPandas(state.Silence(entity, timeout_s), f"`{entity}` string, from_s long, reported boolean, alert long", "append", "eventTime", known)
+    return found.withColumn(entity, F.col(entity).cast(kind))

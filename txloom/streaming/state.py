@@ -7,20 +7,23 @@ stream's delay allows are dropped where event time decides, and nowhere else.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class Silence(StatefulProcessor):
-    """An alert each time an entity was silent for the timeout, by event time.
+    """An alert each time an entity was silent for the timeout, by event time; a key is a bucket of entities.
 
-    Events wait in a list until the watermark has passed them, so they are taken in the order of
-    time whatever the order they come in. Timers stand at the next waiting event and the next
-    alert. An alert is due when its time is before both the next event and the watermark;
-    an entity of the roster is watched from the time the roster gives.
+    Calls between Python and the state cost far more than the work on an entity, so a bucket's
+    entities are read and written together, as lists side by side. Events wait until the watermark
+    has passed them, so they are taken in the order of time whatever the order they come in. One
+    timer stands at the bucket's next waiting event or alert. An alert is due when its time is before both the
+    next event and the watermark; an entity of the roster is watched from the time the roster gives.
     """
 
     def __init__(self, entity: str, timeout_s: int):
@@ -28,47 +31,92 @@ class Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long")
-        self.last = handle.getValueState("last", "at long, reported boolean, alerts long")
+        self.waiting = handle.getValueState("waiting", "who array<string>, at array<long>")
+        self.last = handle.getValueState("last", "who array<string>, at array<long>, reported array<boolean>, alerts array<long>")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, ms: int) -> None:
+        """The bucket's timer, if it has none before."""
+        before = self.due.get()[0] if self.due.exists() else None
+        if before is None or ms < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def _last(self) -> dict[str, tuple[int, bool, int]]:
+        if not self.last.exists():
+            return {}
+        who, at, reported, alerts = self.last.get()
+        return dict(zip(who, zip(at, reported, alerts, strict=True), strict=True))
+
+    def _keep(self, last: dict[str, tuple[int, bool, int]]) -> None:
+        self.last.update((list(last), *(list(x) for x in zip(*last.values(), strict=True))))
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        since = int(initialState["since"].min())
-        self.last.update((since, False, 0))
-        self.handle.registerTimer((since + self.timeout) * 1000 + 1)
+        last = self._last()
+        for who, since in zip(initialState[self.entity].tolist(), initialState["since"].tolist(), strict=True):
+            if who not in last or since < last[who][0]:
+                last[who] = (int(since), False, 0)
+        self._keep(last)
+        self._wake((min(at for at, _, _ in last.values()) + self.timeout) * 1000 + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [int(at) for frame in rows for at in frame["at"]]
-        self.waiting.appendList([(at,) for at in new])
-        self.handle.registerTimer(min(new) * 1000)
+        who, at = self.waiting.get() if self.waiting.exists() else ([], [])
+        who, at = list(who), list(at)
+        for frame in rows:
+            who += frame[self.entity].tolist()
+            at += [int(x) for x in frame["at"].tolist()]
+        self.waiting.update((who, at))
+        self._wake(min(at) * 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(at for (at,) in self.waiting.get()) if self.waiting.exists() else []
-        passed = [at for at in waiting if at * 1000 <= now]
-        out: list[tuple[int, bool, int]] = []
-        at, reported, alerts = self.last.get() if self.last.exists() else (None, False, 0)
-        for end in [*passed, None]:
-            if at is not None:
-                until = now if end is None else min(end * 1000, now)
-                while (at + (alerts + 1) * self.timeout) * 1000 < until:
-                    alerts += 1
-                    out.append((at, reported, alerts))
-            if end is not None and (at is None or end >= at or not reported):
-                at, reported, alerts = end, True, 0
-        if passed:
-            rest = waiting[len(passed) :]
-            if rest:
-                self.waiting.put([(x,) for x in rest])
-            else:
-                self.waiting.clear()
-        if at is not None:
-            self.last.update((at, reported, alerts))
-            # a timer that fires goes afterwards, so one that is set anew must be later
-            self.handle.registerTimer((at + (alerts + 1) * self.timeout) * 1000 + 1)
-        if len(waiting) > len(passed):
-            self.handle.registerTimer(waiting[len(passed)] * 1000)
-        yield pd.DataFrame({self.entity: [key[0]] * len(out), "from_s": [a for a, _, _ in out], "reported": [r for _, r, _ in out], "alert": [k for _, _, k in out]}) if out else pd.DataFrame()
+        waiting = sorted(zip(*self.waiting.get(), strict=True), key=lambda r: r[1]) if self.waiting.exists() else []
+        n = bisect.bisect_right(waiting, now, key=lambda r: r[1] * 1000)
+        last, step = self._last(), self.timeout * 1000
+        found: list[tuple[str, int, bool, int, int]] = []
+
+        def silent(who: str, until: int) -> None:
+            """The alerts of an entity that are due before ``until``."""
+            at, reported, alerts = last[who]
+            upto = -((at * 1000 - until) // step) - 1
+            if upto > alerts:
+                found.append((who, at, reported, alerts, upto - alerts))
+                last[who] = (at, reported, upto)
+
+        for who, end in waiting[:n]:
+            if who in last:
+                silent(who, end * 1000)
+                at, reported, _ = last[who]
+                if end < at and reported:
+                    continue
+            last[who] = (end, True, 0)
+        for who in last:
+            silent(who, now)
+        if n == len(waiting):
+            self.waiting.clear()
+        elif n:
+            self.waiting.update(tuple(list(x) for x in zip(*waiting[n:], strict=True)))
+        # the timer that fires goes afterwards, so one that is set anew must be later
+        self.due.clear()
+        nexts = [(at + (alerts + 1) * self.timeout) * 1000 + 1 for at, _, alerts in last.values()]
+        nexts += [at * 1000 for _, at in waiting[n : n + 1]]
+        if last:
+            self._keep(last)
+        if nexts:
+            self._wake(min(nexts))
+        yield self._alerts(found)
+
+    def _alerts(self, found: list[tuple[str, int, bool, int, int]]) -> pd.DataFrame:
+        if not found:
+            return pd.DataFrame()
+        who, at, reported, before, n = (list(x) for x in zip(*found, strict=True))
+        times = np.array(n)
+        place = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+        columns = {self.entity: np.array(who, dtype=object), "from_s": np.array(at), "reported": np.array(reported)}
+        return pd.DataFrame({k: np.repeat(v, times) for k, v in columns.items()} | {"alert": np.repeat(np.array(before), times) + place + 1})
 
     def close(self) -> None:
         pass
