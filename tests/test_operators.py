@@ -409,3 +409,17 @@ def test_streams_end_as_batches(spark, sf_dir):
     left = jobs.once(spark.readStream.schema(kind).parquet(path), ["client_id", "request_id"])
     assert sorted((str(r.client_id), str(r.request_id)) for r in left.collect()) == [("None", "r1"), ("None", "r1"), ("c1", "None"), ("c1", "None"), ("c1", "r1"), ("c2", "r1")]
     assert jobs.windowed_counts(readers.event_stream(spark, sf_dir), "1 day", "1 hour").agg(F.sum("n")).first()[0] == batch.count()
+
+
+@pytest.mark.parametrize("own", [None, "32m"])
+def test_joins_of_transfers_are_in_small_pieces(spark, sf_dir, own):
+    """A task's memory goes by the size to which partitions are merged; a size that the session has set stays."""
+    key = readers.PIECE[0]
+    spark.conf.unset(key)
+    try:
+        if own:
+            spark.conf.set(key, own)
+        readers.transactions(spark, sf_dir)
+        assert spark.conf.get(key) == (own or "16m")
+    finally:
+        spark.conf.unset(key)
