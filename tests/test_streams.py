@@ -120,3 +120,18 @@ def test_keys_are_remembered_for_a_time(spark):
     time.sleep(4)
     run([("d", at(0))])
     assert n_state(spark, checkpoint, "seen") < 4
+
+
+def test_waiting_rows_share_the_rows_of_the_state(spark):
+    """Late rows that wait are kept in blocks, over restarts, and leave with their nulls; few rows of a batch are a row each."""
+    schema = "ts timestamp, account string, payment_format string, amount_paid int"
+    early, late = F.col("ts") < F.lit("2024-01-02").cast("timestamp"), F.col("ts") >= F.lit("2024-01-02").cast("timestamp")
+    run, checkpoint = runner(spark, schema, "blocks", lambda s: jobs.below_baseline(s, early, late, "2024-01-02", ["account"], delay="2 days", shards=2))
+    day = 86400
+    rows = [(at(day + k), f"a{k}" if k % 7 else None, "Wire", k % 5) for k in range(5000)]
+    assert run([(at(0), "e", "Wire", 300), *rows[:2500]]).count() == 0
+    assert run(rows[2500:]).count() == 0
+    assert n_state(spark, checkpoint, "waiting") == 0 and 4 <= n_state(spark, checkpoint, "blocks") <= 12
+    got = run([(at(4 * day), "w", "Wire", 50)])
+    assert sorted((r.account or "", r.amount_paid) for r in got.collect()) == sorted((a or "", float(n)) for _, a, _, n in rows if n < 3)
+    assert n_state(spark, checkpoint, "blocks") == 0
