@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -423,3 +425,18 @@ def test_joins_of_transfers_are_in_small_pieces(spark, sf_dir, own):
         assert spark.conf.get(key) == (own or "16m")
     finally:
         spark.conf.unset(key)
+
+
+def test_triples_by_edges_distinct_by_account(spark):
+    """As distinct paths give them, with accounts at several banks on every place and nulls."""
+    rng = random.Random(5)
+    side = lambda: (rng.choice(["1", "2", "2", None]), rng.choice([*"ABCDE", None]))
+    e = spark.createDataFrame([(*side(), *side()) for _ in range(90)], ", ".join(f"{c} string" for c in joins.EDGE)).distinct()
+    first = joins.scatter_edges(e, 2).select(*joins.EDGE)
+    names = ["a_account", "b_account", "c_account"]
+    want = sorted(map(repr, joins.two_hops(first, e, drop_self_loops=False).select(*names).distinct().collect()))
+    found = joins.account_triples(first, e)
+    assert len(want) > 20 and sorted(map(repr, found.collect())) == want
+    # accounts at one bank: no shuffle by all three, but for the branch of those at several
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len(re.findall(r"Exchange hashpartitioning\(a_account#\d+, b_account#\d+, c_account#\d+", plan)) == 1 and "Union" in plan

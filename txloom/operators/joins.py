@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom import schemas
+from txloom import schemas, scratch
 from txloom.functions import scalars
 from txloom.operators import aggregates
 
@@ -100,13 +100,22 @@ def path_counts(first: DataFrame, second: DataFrame, end: str, drop_self_loops:
 TILE = 4096
 
 
-def _tiled(edges: DataFrame, heavy: DataFrame, own: str, other: str) -> DataFrame:
+def _tiled(edges: DataFrame, heavy: DataFrame, own: str, other: str, key: list[str]) -> DataFrame:
     """Edges with the number of their tile: dealt over the tiles of their own side, copied to those of the other."""
-    known = edges.join(heavy, ["b_bank", "b_account"], "left").withColumns({x: F.coalesce(x, F.lit(1)) for x in (own, other)})
-    place = F.pmod(F.xxhash64(*(c for c in edges.columns if not c.startswith("b_"))), F.col(own)).cast("int")
+    known = edges.join(heavy, key, "left").withColumns({x: F.coalesce(x, F.lit(1)) for x in (own, other)})
+    place = F.pmod(F.xxhash64(*(c for c in edges.columns if c not in key)), F.col(own)).cast("int")
     return known.withColumn(f"{own}_at", place).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
 
 
+def _tiles(first: DataFrame, second: DataFrame, tile: int, key: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their tiles, and the columns that they meet by; see ``tiled_hops``."""
+    ins = first.groupBy(*key).agg(F.count("*").alias("n_in"))
+    outs = second.groupBy(*key).agg(F.count("*").alias("n_out"))
+    cuts = lambda n: F.ceil(F.col(n) / tile).cast("int")
+    heavy = ins.join(outs, key).where((F.col("n_in") > tile) | (F.col("n_out") > tile)).select(*key, cuts("n_in").alias("rows"), cuts("n_out").alias("cols"))
+    return _tiled(first, heavy, "rows", "cols", key), _tiled(second, heavy, "cols", "rows", key), [*key, "rows_at", "cols_at"]
+
+
 def tiled_hops(first: DataFrame, second: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs of edges (a, b) and (b, c) that meet in b, with the tile that each pair is made in.
 
@@ -114,11 +123,8 @@ def tiled_hops(first: DataFrame, second: DataFrame, tile: int = TILE) -> DataFra
     about ``tile`` by ``tile`` edges, each a join key of its own, so that no task has a hub
     alone. Other accounts are one tile. Few accounts are that heavy, so their table is small.
     """
-    ins = first.groupBy("b_bank", "b_account").agg(F.count("*").alias("n_in"))
-    outs = second.groupBy("b_bank", "b_account").agg(F.count("*").alias("n_out"))
-    cuts = lambda n: F.ceil(F.col(n) / tile).cast("int")
-    heavy = ins.join(outs, ["b_bank", "b_account"]).where((F.col("n_in") > tile) | (F.col("n_out") > tile)).select("b_bank", "b_account", cuts("n_in").alias("rows"), cuts("n_out").alias("cols"))
-    return _tiled(first, heavy, "rows", "cols").join(_tiled(second, heavy, "cols", "rows"), ["b_bank", "b_account", "rows_at", "cols_at"])
+    left, right, on = _tiles(first, second, tile, ["b_bank", "b_account"])
+    return left.join(right, on)
 
 
 def two_hops(first: DataFrame, second: DataFrame, drop_self_loops: bool = True, tile: int = TILE) -> DataFrame:
@@ -134,6 +140,23 @@ def two_hops(first: DataFrame, second: DataFrame, drop_self_loops: bool = True,
     return tiled_hops(a, c, tile).where("NOT (a_bank = c_bank AND a_account = c_account)").select("a_bank", "a_account", "b_bank", "b_account", "c_bank", "c_account")
 
 
+def account_triples(first: DataFrame, second: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct (a_account, b_account, c_account) of the paths of ``two_hops`` with self-loops.
+
+    Edges are made distinct by account before they meet, with the least and the greatest bank of the outer
+    account: that tells whether some path has A and C apart. A triple then comes once for each bank of
+    B, so only those over accounts at several banks are made distinct afterwards.
+    """
+    b = ["b_bank", "b_account"]
+    banks = lambda x: (F.min(f"{x}_bank").alias(f"{x}_low"), F.max(f"{x}_bank").alias(f"{x}_high"))
+    a = scratch.saved(first.toDF("a_bank", "a_account", *b).groupBy("a_account", *b).agg(*banks("a")), "legs")
+    c = scratch.saved(second.toDF(*b, "c_bank", "c_account").groupBy(*b, "c_account").agg(*banks("c")), "legs")
+    several = a.groupBy("b_account").agg(F.min("b_bank").alias("low"), F.max("b_bank").alias("high")).where("low < high").select("b_account")
+    apart = "a_account <> c_account OR (c_low IS NOT NULL AND (a_low <> a_high OR c_low <> c_high OR a_low <> c_low))"
+    once, again = (tiled_hops(a.join(several, "b_account", how).select(*a.columns), c, tile).where(apart).select("a_account", "b_account", "c_account") for how in ("left_anti", "left_semi"))
+    return once.unionByName(again.distinct())
+
+
 def gathering(links: DataFrame, over: int) -> DataFrame:
     """Edges whose receiver has more than ``over`` senders: only those can gather from as many."""
     receivers = links.groupBy("to_bank", "to_account").agg(F.count("*").alias("n")).where(F.col("n") > over)

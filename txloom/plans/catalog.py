@@ -420,8 +420,8 @@ def a12(s, d):
 
 @query("A13", over("path", "SELECT DISTINCT a_account, b_account, c_account FROM path"))
 def a13(s, d):
-    e = period_edges(s, d)
-    return joins.two_hops(joins.scatter_edges(e), e, drop_self_loops=False).dropDuplicates(["a_account", "b_account", "c_account"]).select("a_account", "b_account", "c_account")
+    e = scratch.saved(period_edges(s, d), "edges")
+    return joins.account_triples(joins.scatter_edges(e).select(*joins.EDGE), e)
 
 
 @query("A14", over("tx", "SELECT from_account, count(*) AS n FROM tx GROUP BY from_account HAVING count(*) > 5"))
