@@ -440,3 +440,21 @@ def test_triples_by_edges_distinct_by_account(spark):
     # accounts at one bank: no shuffle by all three, but for the branch of those at several
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert len(re.findall(r"Exchange hashpartitioning\(a_account#\d+, b_account#\d+, c_account#\d+", plan)) == 1 and "Union" in plan
+
+
+def test_paths_are_counted_where_their_first_account_is(spark):
+    """Paths leave no shuffle as rows; hubs, accounts with many paths and odd bank names come out right, in as many tasks as there are paths for."""
+    rng = random.Random(6)
+    name = lambda k: (["1", "1:", "", "12"][k % 4], f":{k}")
+    pairs = {(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(300)) if a != b} | {(0, k) for k in range(1, 25)} | {(k, 1) for k in range(2, 25)}
+    e = spark.createDataFrame([(*name(a), *name(b)) for a, b in sorted(pairs)], ", ".join(f"{c} string" for c in joins.EDGE))
+    want = {}
+    for a, b in pairs:
+        for c in (y for x, y in pairs if x == b and y != a):
+            want[name(a) + name(c)] = want.get(name(a) + name(c), 0) + 1
+    want = {k: n for k, n in want.items() if n > 2}
+    found = joins.pair_counts(e, e, 2, tile=4, paths=100, share=20)
+    assert want and {tuple(r)[:4]: r.n_between for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    wide = int(re.search(r"hashpartitioning\(a#\d+, cut#\d+, (\d+)\)", plan)[1])
+    assert wide >= 10 and "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+, cut#\d+, c#", plan)

@@ -163,23 +163,63 @@ def gathering(links: DataFrame, over: int) -> DataFrame:
     return links.join(receivers, ["to_bank", "to_account"], "left_semi").select(*EDGE)
 
 
-def scatter_gather_pairs(rows: DataFrame, scatter_over: int = 5, gather_over: int = 5, drop_self_loops: bool = True, normalise=None) -> DataFrame:
+#: Paths that are counted in one task, about, and those of one first account that stay together.
+PATHS, SHARE = 1 << 20, 1 << 18
+
+
+def _one_text(bank: str, account: str) -> Column:
+    """Bank and account as one text, with the bank's length so that no two accounts share one; null if either is."""
+    return F.concat(F.length(bank).cast("string"), F.lit(":"), bank, account)
+
+
+def _two_texts(text: str) -> tuple[Column, Column]:
+    length = F.substring_index(text, ":", 1)
+    start = F.length(length) + 2
+    n = length.cast("int")
+    return F.substring(F.col(text), start, n), F.substring(F.col(text), start + n, F.length(text))
+
+
+def pair_counts(first: DataFrame, second: DataFrame, over: int, tile: int = TILE, paths: int = PATHS, share: int = SHARE) -> DataFrame:
+    """(A, C, n_between) of the paths A-B-C of distinct edges, A and C apart, where more than ``over`` lead from A to C.
+
+    Paths far outnumber edges, so none is shuffled as a row: each first leg takes B's receivers
+    along as an array, legs are shuffled by A, and only there paths become rows, which are
+    counted where they are. There are as many tasks as the number of paths asks for, and the
+    receivers of an A with more than ``share`` paths are dealt to several of them.
+    """
+    first, second = (e.select(_one_text("from_bank", "from_account").alias(x), _one_text("to_bank", "to_account").alias(y)) for e, x, y in ((first, "a", "b"), (second, "b", "c")))
+    reach = first.join(second.groupBy("b").agg(F.count("*").alias("ways")), "b").groupBy("a").agg(F.sum("ways").alias("n"))
+    total = reach.agg(F.sum("n")).first()[0] or 0
+    cuts = reach.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("cuts"))
+    legs, onward, on = _tiles(first.join(cuts, "a", "left").select("a", "b", F.coalesce("cuts", F.lit(1)).alias("cuts")), second, tile, ["b"])
+    # a tile's side of receivers, about, in an array
+    met = legs.join(onward.groupBy(*on).agg(F.collect_list("c").alias("receivers")), on)
+    met = met.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    own = F.when(F.col("cuts") == 1, F.col("receivers")).otherwise(F.filter("receivers", lambda c: F.pmod(F.xxhash64(c), F.col("cuts")) == F.col("cut")))
+    tasks = max(first.sparkSession.sparkContext.defaultParallelism, -(-total // paths))
+    dealt = met.select("a", "cut", own.alias("receivers")).repartition(tasks, "a", "cut").select("a", "cut", F.explode("receivers").alias("c")).where("a <> c")
+    # a path occurs once, as its edges are distinct: the count is that of distinct B
+    counts = dealt.groupBy("a", "cut", "c").agg(F.count("*").alias("n_between")).where(F.col("n_between") > over)
+    return counts.select(*(part.alias(f"{x}_{name}") for x in "ac" for name, part in zip(("bank", "account"), _two_texts(x), strict=True)), "n_between")
+
+
+def scatter_gather_pairs(rows: DataFrame, scatter_over: int = 5, gather_over: int = 5, drop_self_loops: bool = True, normalise=None, written: bool = False) -> DataFrame:
     """(A, C, n): accounts joined by more than ``gather_over`` intermediaries, A sending to more than ``scatter_over``.
 
     Edges that can't be on such a path go before paths are made: second legs to receivers
     with too few senders, then first legs to accounts without a second leg, then senders
-    with too few of those left.
+    with too few of those left. With ``written`` the edges are written at each step: where rows come
+    out of joins, that is cheaper than to compute them for each step anew.
     """
-    links = edges(rows, normalise)
+    keep = scratch.saved if written else lambda e, name: e
+    links = keep(edges(rows, normalise), "edges")
     first = scatter_edges(links, scatter_over)
     if drop_self_loops:
         first, links = _no_loops(first), _no_loops(links)
-    second = gathering(links, gather_over)
+    second = keep(gathering(links, gather_over), "second")
     middles = second.select(F.col("from_bank").alias("to_bank"), F.col("from_account").alias("to_account")).distinct()
-    first = scatter_edges(first.join(middles, ["to_bank", "to_account"], "left_semi").select(*EDGE), gather_over)
-    paths = two_hops(first.select(*EDGE), second, drop_self_loops)
-    # a path occurs once, as its edges are distinct: the count is that of distinct B
-    return paths.groupBy("a_bank", "a_account", "c_bank", "c_account").agg(F.count("*").alias("n_between")).where(F.col("n_between") > gather_over)
+    first = keep(scatter_edges(first.join(middles, ["to_bank", "to_account"], "left_semi").select(*EDGE), gather_over).select(*EDGE), "first")
+    return pair_counts(first, second, gather_over)
 
 
 def ends(pairs: DataFrame) -> DataFrame:

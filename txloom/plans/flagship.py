@@ -41,10 +41,10 @@ def below_baseline(tx: DataFrame, early: str, late: str, ratio: float = 0.01, in
     return found.select("from_bank", "from_account", "payment_format", "amount_paid")
 
 
-def scatter_gather(tx: DataFrame, period: str, scatter_over: int = 5, gather_over: int = 5, drop_self_loops: bool = False, usd: bool = True, normalise=None) -> DataFrame:
-    """Pairs (A, C) joined over more than ``gather_over`` accounts, and their number."""
+def scatter_gather(tx: DataFrame, period: str, scatter_over: int = 5, gather_over: int = 5, drop_self_loops: bool = False, usd: bool = True, normalise=None, written: bool = False) -> DataFrame:
+    """Pairs (A, C) joined over more than ``gather_over`` accounts, and their number; ``written`` as in ``scatter_gather_pairs``."""
     kept = predicates.keep(dollars(tx) if usd else tx, ("between", "ts_text", period))
-    return joins.scatter_gather_pairs(kept, scatter_over, gather_over, drop_self_loops, normalise)
+    return joins.scatter_gather_pairs(kept, scatter_over, gather_over, drop_self_loops, normalise, written)
 
 
 def scatter_gather_accounts(pairs: DataFrame) -> DataFrame:
