@@ -427,6 +427,28 @@ def test_joins_of_transfers_are_in_small_pieces(spark, sf_dir, own):
         spark.conf.unset(key)
 
 
+def test_large_orders_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Files far smaller than their rows don't make Spark broadcast them, and shuffle partitions grow with the files."""
+    path = scratch.folder(spark, "orders")
+    n = 400_000
+    wide = [f"'x' AS pad{k}" for k in range(8)]
+    spark.range(n).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey", "TIMESTAMP '1996-05-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority", *wide).coalesce(1).write.parquet(f"{path}/orders.parquet")
+    spark.range(n).selectExpr("id AS l_orderkey", "id % 7 AS l_partkey", "1.0 AS l_extendedprice", "0.5 AS l_discount", "'N' AS l_returnflag", *wide).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    monkeypatch.setattr(readers, "FILES", 1 << 18, raising=False)
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        found = readers.transactions(spark, path).select("from_account", "to_account")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        assert int(spark.conf.get(first)) > 4 and found.count() == n
+        spark.conf.set(first, "5000")
+        readers.transactions(spark, path)
+        assert spark.conf.get(first) == "5000"
+    finally:
+        spark.conf.unset(first)
+        spark.conf.unset(readers.PIECE[0])
+
+
 def test_triples_by_edges_distinct_by_account(spark):
     """As distinct paths give them, with accounts at several banks on every place and nulls."""
     rng = random.Random(5)

@@ -91,17 +91,38 @@ def _choice(column, table: dict[str, str]):
 PIECE = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m"
 
 
-def small_pieces(spark: SparkSession) -> None:
-    """Partitions are merged up to 16 MB instead of Spark's 64, where the session has not set another size."""
+#: Bytes of files for each shuffle partition before any are merged, at most: the number of partitions grows with the tables.
+FILES = 8 << 20
+FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Bytes of files up to which Spark may send a table to all tasks. It goes by the files' size, and rows take twenty times that room and more in a task.
+SENT = 1 << 20
+
+
+def _file_bytes(table: DataFrame) -> int:
+    return int(str(table._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+
+
+def small_pieces(spark: SparkSession, *tables: DataFrame) -> None:
+    """Partitions are merged up to 16 MB instead of Spark's 64, where the session has not set another size.
+
+    Merging makes no partition smaller, so there are enough of them to begin with, whatever
+    ``spark.sql.shuffle.partitions`` says: one for each 8 MB of the tables' files. A larger number of the session stays.
+    """
     if PIECE[0] not in spark.conf.getAll:
         spark.conf.set(*PIECE)
+    first = -(-sum(map(_file_bytes, tables)) // FILES)
+    if first > int(spark.conf.get(FIRST, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(FIRST, str(first))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers out of order lines: customers send to parts, amounts are price times discount."""
-    small_pieces(spark)
-    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_returnflag")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    lines, orders = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders")
+    small_pieces(spark, lines, orders)
+    if _file_bytes(orders) > SENT:
+        orders = orders.hint("merge")
+    lines = lines.select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_returnflag")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     bank = lambda c: F.lpad((F.col(c) % 25).cast("string"), 3, "0")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.date_format("o_orderdate", "yyyy/MM/dd HH:mm").alias("ts_text"),
