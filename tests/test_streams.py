@@ -80,6 +80,22 @@ def test_groups_leave_when_they_pass(spark):
     assert sorted((r.g, r.v, r.n_values) for r in later.collect()) == [("", "", 3), ("", "1", 3), ("", "2", 3), ("a", "1", 3), ("a", "2", 3), ("a", "7", 3), ("a", "8", 4)]
 
 
+def test_values_of_a_large_group_share_the_rows_of_the_state(spark):
+    """Values are kept in few rows, which split as the group grows; each leaves once, over restarts, by two columns that could be taken for one."""
+    run, checkpoint = runner(spark, "g string, v string, w int", "shares", lambda s: jobs.distinct_values(s, ["g"], ["v", "w"], 1200))
+    value = lambda k: ("a" * (k % 3), k // 3)
+    small = [("b", "x", k) for k in range(3)]
+    assert run([*small, *(("a", *value(k)) for k in range(10))]).count() == 0 and n_state(spark, checkpoint, "values") == 13
+    assert run([("a", *value(k)) for k in range(5, 900)]).count() == 0
+    assert n_state(spark, checkpoint, "values") == 3 and n_state(spark, checkpoint, "shared") <= 16
+    assert run([("a", *value(k)) for k in range(9000)] * 2).count() == 9000
+    assert n_state(spark, checkpoint, "shared") <= 64
+    out = run([*small, ("a", "", 1), *(("a", *value(k)) for k in range(8990, 9010)), ("a", None, None)]).collect()
+    assert sorted((r.v, r.w) for r in out) == sorted([*((v, str(w)) for v, w in map(value, range(9010))), ("", "")])
+    assert {r.g for r in out} == {"a"} and max(r.n_values for r in out) == 9011
+    assert n_state(spark, checkpoint, "values") == 3
+
+
 def test_nothing_leaves_before_the_means(spark):
     schema = "ts timestamp, account string, payment_format string, amount_paid int"
     early, late = F.col("ts") < F.lit("2024-01-02").cast("timestamp"), F.col("ts") >= F.lit("2024-01-02").cast("timestamp")

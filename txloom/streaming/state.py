@@ -8,7 +8,8 @@ stream's delay allows are dropped where event time decides, and nowhere else.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -122,36 +123,118 @@ class Silence(StatefulProcessor):
         pass
 
 
+#: Distinct values of a group that are a row of the state each; those of larger groups share rows, about ``SHARED`` to ``2 * SHARED`` in one.
+SINGLE, SHARED = 16, 256
+#: Values of a group that are looked up together.
+AT_ONCE = 1 << 16
+
+
+def n_rows(n: int) -> int:
+    """Rows of the state that ``n`` values of a group share, a power of two."""
+    return max(16, 1 << (n // (2 * SHARED)).bit_length())
+
+
 class DistinctValues(StatefulProcessor):
-    """A group's distinct values in a map; rows leave when the group passes its threshold, and from then on for each new value."""
+    """A group's distinct values; rows leave when the group passes its threshold, and from then on for each new value.
+
+    Calls between Python and the state cost far more than the work on a value, so the values of a group with
+    more than ``SINGLE`` are dealt by a checksum to rows that are read and written as a whole, as lists side by
+    side. The number of rows doubles as the group grows, which splits each row in two.
+    """
 
     def __init__(self, group: list[str], value: list[str], passes: int):
         self.group, self.value, self.passes = group, value, passes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", ", ".join(f"v{k} string" for k in range(len(self.value))), "seen boolean")
+        names = [f"v{k}" for k in range(len(self.value))]
+        self.values = handle.getMapState("values", ", ".join(f"{c} string" for c in names), "seen boolean")
+        self.shared = handle.getMapState("shared", "number int", ", ".join(f"{c} array<string>" for c in names))
         self.count = handle.getValueState("count", "n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        before = self.count.get()[0] if self.count.exists() else 0
-        new = []
-        for frame in rows:
-            for own in frame[self.value].drop_duplicates().itertuples(index=False, name=None):
-                if not self.values.containsKey(own):
+    def _held(self, number: int) -> list[tuple[str, ...]]:
+        row = self.shared.getValue((number,))
+        return list(zip(*row, strict=True)) if row else []
+
+    def _hold(self, number: int, values: list[tuple[str, ...]]) -> None:
+        self.shared.updateValue((number,), tuple(list(x) for x in zip(*values, strict=True)))
+
+    def _dealt(self, values: Iterable[tuple[str, ...]], rows: int) -> dict[int, list[tuple[str, ...]]]:
+        found: dict[int, list[tuple[str, ...]]] = {}
+        for own in values:
+            found.setdefault(zlib.crc32("\0".join(own).encode()) % rows, []).append(own)
+        return found
+
+    def _added(self, n: int, values: Iterable[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        """Keep the values that a group of ``n`` has not; gives them."""
+        if n <= SINGLE or self.values.exists():  # a checkpoint of before had all values in rows of their own
+            known = dict.fromkeys(tuple(k) for k in self.values.keys()) if n else {}
+            new = list(dict.fromkeys(v for v in values if v not in known))
+            if n + len(new) <= SINGLE:
+                for own in new:
                     self.values.updateValue(own, (True,))
-                    new.append(own)
+                return new
+            self.values.clear()
+            for number, own in self._dealt([*known, *new], n_rows(n + len(new))).items():
+                self._hold(number, own)
+            return new
+        new, rows = [], n_rows(n)
+        for number, own in self._dealt(values, rows).items():
+            held = self._held(number)
+            known = set(held)
+            fresh = [v for v in own if v not in known]
+            if fresh:
+                self._hold(number, held + fresh)
+                new += fresh
+        after = n_rows(n + len(new))
+        for number in range(rows if after > rows else 0):
+            # the rest by a larger power of two adds multiples of the smaller one
+            parts = self._dealt(self._held(number), after)
+            for part, own in parts.items():
+                self._hold(part, own)
+            if parts and number not in parts:
+                self.shared.removeKey((number,))
+        return new
+
+    def _all(self, n: int) -> Iterator[list[tuple[str, ...]]]:
+        """All values of a group of ``n``, in pieces."""
+        if n <= SINGLE:
+            yield [tuple(k) for k in self.values.keys()]
+            return
+        some: list[tuple[str, ...]] = []
+        for number in range(n_rows(n)):
+            some += self._held(number)
+            if len(some) >= AT_ONCE:
+                yield some
+                some = []
+        if some:
+            yield some
+
+    def _taken(self, key: Any, values: Iterable[tuple[str, ...]]) -> Iterator[pd.DataFrame]:
+        before = self.count.get()[0] if self.count.exists() else 0
+        new = self._added(before, values)
         n = before + len(new)
-        if new:
-            self.count.update((n,))
-        if not new or n < self.passes:
-            yield pd.DataFrame()
+        if not new:
+            return
+        self.count.update((n,))
+        if n < self.passes:
             return
-        sent = new if before >= self.passes else [k for k in self.values.keys()]
-        out = pd.DataFrame([tuple(v) for v in sent], columns=self.value)
-        for name, part in zip(self.group, key, strict=True):
-            out[name] = part
-        out["n_values"] = n
-        yield out[[*self.group, *self.value, "n_values"]]
+        for sent in [new] if before >= self.passes else self._all(n):
+            out = pd.DataFrame(sent, columns=self.value)
+            for name, part in zip(self.group, key, strict=True):
+                out[name] = part
+            out["n_values"] = n
+            yield out[[*self.group, *self.value, "n_values"]]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        waiting: dict[tuple[str, ...], None] = {}
+        for frame in rows:
+            waiting |= dict.fromkeys(frame[self.value].drop_duplicates().itertuples(index=False, name=None))
+            if len(waiting) >= AT_ONCE:
+                yield from self._taken(key, waiting)
+                waiting = {}
+        if waiting:
+            yield from self._taken(key, waiting)
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
