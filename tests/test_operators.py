@@ -480,3 +480,17 @@ def test_paths_are_counted_where_their_first_account_is(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     wide = int(re.search(r"hashpartitioning\(a#\d+, cut#\d+, (\d+)\)", plan)[1])
     assert wide >= 10 and "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+, cut#\d+, c#", plan)
+
+
+def test_receivers_are_not_sent_to_all_tasks(spark):
+    """Receivers are joined where both sides are shuffled to, however small their files, and accounts with many edges are looked up without a shuffle; a sender's count has its loop and unknown receivers."""
+    legs = [(f"a{k}", f"b{m}") for k in range(3) for m in range(4)] + [(f"b{m}", "c") for m in range(4)] + [("x", "x"), ("x", None)] + [("x", f"b{m}") for m in range(3)]
+    e = spark.createDataFrame([("1", a, "1", b) for a, b in legs], ", ".join(f"{c} string" for c in joins.EDGE))
+    found = joins.scatter_gather_pairs(e, 3, 2, written=True)
+    # x sends to five with its loop and the unknown one, so it stays, over three of them
+    assert sorted((r.a_account, r.c_account, r.n_between) for r in found.collect()) == [("a0", "c", 4), ("a1", "c", 4), ("a2", "c", 4), ("x", "c", 3)]
+    assert joins.scatter_gather_pairs(e, 4, 2, written=True).collect()[0].a_account == "x"
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert re.search(r"SortMergeJoin \[b#\d+, rows_at#\d+, cols_at#\d+\]", plan)
+    # legs by middle account, receivers by it, paths by sender
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3

@@ -157,12 +157,6 @@ def account_triples(first: DataFrame, second: DataFrame, tile: int = TILE) -> Da
     return once.unionByName(again.distinct())
 
 
-def gathering(links: DataFrame, over: int) -> DataFrame:
-    """Edges whose receiver has more than ``over`` senders: only those can gather from as many."""
-    receivers = links.groupBy("to_bank", "to_account").agg(F.count("*").alias("n")).where(F.col("n") > over)
-    return links.join(receivers, ["to_bank", "to_account"], "left_semi").select(*EDGE)
-
-
 #: Paths that are counted in one task, about, and those of one first account that stay together.
 PATHS, SHARE = 1 << 20, 1 << 18
 
@@ -179,22 +173,49 @@ def _two_texts(text: str) -> tuple[Column, Column]:
     return F.substring(F.col(text), start, n), F.substring(F.col(text), start + n, F.length(text))
 
 
+def _legs(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """Edges as two texts: half as many columns to sort, compare and shuffle."""
+    return edges.select(_one_text("from_bank", "from_account").alias(start), _one_text("to_bank", "to_account").alias(end))
+
+
+def _reaching(links: DataFrame, second: DataFrame, scatter_over: int, gather_over: int, drop_self_loops: bool, keep) -> DataFrame:
+    """First legs (a, b, ways, reach): B has ``ways`` onward legs, and A ``reach`` paths in all.
+
+    Senders with no more than ``scatter_over`` receivers go, and those of whose receivers no more than
+    ``gather_over`` have an onward leg. One aggregate by sender tells both, so self-loops stay up to there.
+    """
+    ways = second.groupBy("b").agg(F.count("*").alias("ways"))
+    onward = F.when(F.col("a") != F.col("b"), F.col("ways")) if drop_self_loops else F.col("ways")
+    legs = keep(links.join(ways, "b", "left").select("a", "b", onward.alias("ways")), "legs")
+    senders = legs.groupBy("a").agg(F.count("*").alias("n"), F.count("ways").alias("n_onward"), F.sum("ways").alias("reach"))
+    senders = senders.where((F.col("n") > scatter_over) & (F.col("n_onward") > gather_over)).select("a", "reach")
+    return keep(legs.where("ways IS NOT NULL").join(senders, "a"), "first")
+
+
 def pair_counts(first: DataFrame, second: DataFrame, over: int, tile: int = TILE, paths: int = PATHS, share: int = SHARE) -> DataFrame:
-    """(A, C, n_between) of the paths A-B-C of distinct edges, A and C apart, where more than ``over`` lead from A to C.
+    """(A, C, n_between) of the paths A-B-C of distinct edges, A and C apart, where more than ``over`` lead from A to C."""
+    second = _legs(second, "b", "c")
+    return _counted(_reaching(_legs(first, "a", "b"), second, 0, over, False, lambda e, name: e), second, over, tile, paths, share)
+
+
+def _counted(first: DataFrame, second: DataFrame, over: int, tile: int = TILE, paths: int = PATHS, share: int = SHARE) -> DataFrame:
+    """``pair_counts`` of the first legs of ``_reaching`` and second legs (b, c).
 
     Paths far outnumber edges, so none is shuffled as a row: each first leg takes B's receivers
     along as an array, legs are shuffled by A, and only there paths become rows, which are
     counted where they are. There are as many tasks as the number of paths asks for, and the
     receivers of an A with more than ``share`` paths are dealt to several of them.
     """
-    first, second = (e.select(_one_text("from_bank", "from_account").alias(x), _one_text("to_bank", "to_account").alias(y)) for e, x, y in ((first, "a", "b"), (second, "b", "c")))
-    reach = first.join(second.groupBy("b").agg(F.count("*").alias("ways")), "b").groupBy("a").agg(F.sum("ways").alias("n"))
-    total = reach.agg(F.sum("n")).first()[0] or 0
-    cuts = reach.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("cuts"))
-    legs, onward, on = _tiles(first.join(cuts, "a", "left").select("a", "b", F.coalesce("cuts", F.lit(1)).alias("cuts")), second, tile, ["b"])
-    # a tile's side of receivers, about, in an array
-    met = legs.join(onward.groupBy(*on).agg(F.collect_list("c").alias("receivers")), on)
-    met = met.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    total = first.agg(F.sum("ways")).first()[0] or 0
+    cuts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    heavy = first.groupBy("b").agg(F.count("*").alias("n_in"), F.max("ways").alias("n_out")).where((F.col("n_in") > tile) | (F.col("n_out") > tile))
+    # few if any: written first, so that neither side is shuffled to look them up
+    heavy = scratch.saved(heavy.select("b", cuts("n_in", tile).alias("rows"), cuts("n_out", tile).alias("cols")), "heavy")
+    legs = _tiled(first.select("a", "b", cuts("reach", share).alias("cuts")), heavy, "rows", "cols", ["b"])
+    on = ["b", "rows_at", "cols_at"]
+    # a tile's side of receivers, about, in an array; never sent to all tasks, as the files that Spark goes by are far smaller
+    onward = _tiled(second, heavy, "cols", "rows", ["b"]).repartition(*on).groupBy(*on).agg(F.collect_list("c").alias("receivers"))
+    met = legs.join(onward.hint("merge"), on).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     own = F.when(F.col("cuts") == 1, F.col("receivers")).otherwise(F.filter("receivers", lambda c: F.pmod(F.xxhash64(c), F.col("cuts")) == F.col("cut")))
     tasks = max(first.sparkSession.sparkContext.defaultParallelism, -(-total // paths))
     dealt = met.select("a", "cut", own.alias("receivers")).repartition(tasks, "a", "cut").select("a", "cut", F.explode("receivers").alias("c")).where("a <> c")
@@ -212,14 +233,11 @@ def scatter_gather_pairs(rows: DataFrame, scatter_over: int = 5, gather_over: in
     out of joins, that is cheaper than to compute them for each step anew.
     """
     keep = scratch.saved if written else lambda e, name: e
-    links = keep(edges(rows, normalise), "edges")
-    first = scatter_edges(links, scatter_over)
-    if drop_self_loops:
-        first, links = _no_loops(first), _no_loops(links)
-    second = keep(gathering(links, gather_over), "second")
-    middles = second.select(F.col("from_bank").alias("to_bank"), F.col("from_account").alias("to_account")).distinct()
-    first = keep(scatter_edges(first.join(middles, ["to_bank", "to_account"], "left_semi").select(*EDGE), gather_over).select(*EDGE), "first")
-    return pair_counts(first, second, gather_over)
+    links = keep(_legs(edges(rows, normalise), "a", "b"), "edges")
+    onward = links.where("a <> b") if drop_self_loops else links
+    receivers = onward.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > gather_over).select("b")
+    second = keep(onward.join(receivers, "b", "left_semi").select(F.col("a").alias("b"), F.col("b").alias("c")), "second")
+    return _counted(_reaching(links, second, scatter_over, gather_over, drop_self_loops, keep), second, gather_over)
 
 
 def ends(pairs: DataFrame) -> DataFrame:
